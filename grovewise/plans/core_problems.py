@@ -85,12 +85,12 @@ ORACLE = {
         FROM link l JOIN walk w ON l.group_id = w.group_id WHERE l.parent_id IS NOT NULL
         UNION ALL SELECT u.descendant_id, l.parent_id, u.distance + 1 FROM up u JOIN link l ON u.group_id = l.group_id WHERE l.parent_id IS NOT NULL)
         SELECT group_id, descendant_id, distance FROM up""",
-    "p3_found": f"""WITH {_CURRENT}, at AS (SELECT c.group_id, c.n_tips, r.seq_no FROM cur c JOIN releases r ON c.release = r.release),
+    "p3_found": f"""WITH {_CURRENT}, held AS (SELECT c.group_id, c.n_tips, r.seq_no FROM cur c JOIN releases r ON c.release = r.release),
         pair AS (SELECT seq_no, lag(seq_no) OVER (ORDER BY seq_no) AS old FROM releases)
         SELECT r.release, coalesce(n.group_id, o.group_id) AS group_id,
             CASE WHEN o.group_id IS NULL THEN 'added' WHEN n.group_id IS NULL THEN 'removed' ELSE 'changed' END AS change
-        FROM (SELECT p.seq_no, a.group_id, a.n_tips FROM pair p JOIN at a ON a.seq_no = p.seq_no WHERE p.old IS NOT NULL) n
-        FULL JOIN (SELECT p.seq_no, a.group_id, a.n_tips FROM pair p JOIN at a ON a.seq_no = p.old) o
+        FROM (SELECT p.seq_no, a.group_id, a.n_tips FROM pair p JOIN held a ON a.seq_no = p.seq_no WHERE p.old IS NOT NULL) n
+        FULL JOIN (SELECT p.seq_no, a.group_id, a.n_tips FROM pair p JOIN held a ON a.seq_no = p.old) o
             ON n.seq_no = o.seq_no AND n.group_id = o.group_id
         JOIN releases r ON r.seq_no = coalesce(n.seq_no, o.seq_no)
         WHERE o.group_id IS NULL OR n.group_id IS NULL OR n.n_tips IS DISTINCT FROM o.n_tips""",
