@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovewise.functions import ids
+from grovewise.llm.bpe import decoded, token_counts, token_ids
 from grovewise.llm.consolidate import sets_of
 from grovewise.llm.cooccur import together
+from grovewise.llm.packing import packed
+from grovewise.storage import Scratch
 from grovewise.plans.tables import current_groups, table
 
 
@@ -36,6 +39,32 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("tip_id"), "set_id")
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document by ``byte_bpe_50k``."""
+    return token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text that the ids of every document stand for."""
+    return decoded(p6_ids(spark, sf_dir), "doc_id", "ids")
+
+
+CAPACITY = 4096
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document, or of every part of a document of more than 4,096 tokens."""
+    counts = token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packed(counts, "doc_id", "n_tokens", CAPACITY)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers by the tokens they hold: ``used`` tokens, ``n_containers``, ``n_items``."""
+    whole = Scratch(spark).keep(p7_containers(spark, sf_dir))
+    each = whole.groupBy("container_id").agg(F.sum("length").alias("used"), F.count(F.lit(1)).alias("n"))
+    return each.groupBy("used").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n").alias("n_items"))
+
+
 _BLANK = r"E' \t\n\r\x0b\x0c  　'"
 _TIP = lambda x: f"nullif(nullif(trim(regexp_replace(lower(trim({x}, {_BLANK})), ';size=[0-9]+;?$', ''), {_BLANK}), ''), '*')"
 _PAIRS = f"""sets AS (SELECT DISTINCT plan_id, list_sort(list_distinct(list_filter(list_transform(members, lambda x: {_TIP('x')}), lambda x: x IS NOT NULL))) AS items
@@ -48,12 +77,13 @@ two AS (SELECT a.plan_id, a.tip AS tip_a, b.tip AS tip_b, count(*) AS n_ab FROM
 scored AS (SELECT t.plan_id, tip_a, tip_b, n_ab, x.n AS n_a, y.n AS n_b, n_baskets FROM two t JOIN total USING (plan_id)
     JOIN one x ON x.plan_id = t.plan_id AND x.tip = tip_a JOIN one y ON y.plan_id = t.plan_id AND y.tip = tip_b)"""
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_scores, p5_found)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_scores, p5_found, p6_ids, p6_roundtrip, p7_containers, p7_fill)}
 
 ORACLE = {
     "p4_found": f"WITH {_PAIRS} SELECT plan_id, tip_a, tip_b FROM scored WHERE n_ab >= 4 AND n_ab * n_baskets >= 3 * n_a * n_b",
     "p4_scores": f"WITH {_PAIRS} SELECT plan_id, tip_a, tip_b, n_ab, n_a, n_b, n_baskets, n_ab * n_baskets / (n_a * n_b) AS lift, "
     "log2(n_ab * n_baskets / (n_a * n_b)) AS pmi FROM scored",
+    "p6_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p5_found": f"""WITH RECURSIVE named AS (SELECT {_TIP('query')} AS a, {_TIP('target')} AS b, CASE WHEN identity <= 1 THEN identity >= 0.86 ELSE identity >= 86 END AS ok FROM knn),
         tip AS (SELECT a AS id FROM named WHERE a IS NOT NULL UNION SELECT b FROM named WHERE b IS NOT NULL),
         edge AS (SELECT a, b FROM named WHERE ok AND a <> b UNION SELECT b, a FROM named WHERE ok AND a <> b),
