@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovewise.functions import ids
+from grovewise.llm.abuse import labelled, scored, train
 from grovewise.llm.bpe import decoded, token_counts, token_ids
 from grovewise.llm.consolidate import sets_of
 from grovewise.llm.cooccur import together
@@ -65,6 +66,29 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("used").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("n").alias("n_items"))
 
 
+#: A document from this score on is abusive. Scores lie near 0 or 1; few come between.
+ABUSIVE = 0.3
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document for abusive, hateful or sexually explicit language, with its source."""
+    documents = table(spark, sf_dir, "documents")
+    texts, shares = labelled(documents, table(spark, sf_dir, "review_labels"), "doc_id", "text", "abusive", "reviewer")
+    terms = [r[0] for r in table(spark, sf_dir, "abuse_terms").select("term").orderBy("term").collect()]  # fixed, 34 rows
+    return scored(documents, "doc_id", "text", train(texts, shares, terms), keep=("source",))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold an abusive passage in the writer's own voice."""
+    return p8_scores(spark, sf_dir).filter(F.col("score") >= ABUSIVE).select("doc_id")
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, abusive documents and their rate for each source."""
+    each = p8_scores(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("score") >= ABUSIVE).alias("n_abusive"))
+    return each.withColumn("rate", F.col("n_abusive") / F.col("n_documents"))
+
+
 _BLANK = r"E' \t\n\r\x0b\x0c  　'"
 _TIP = lambda x: f"nullif(nullif(trim(regexp_replace(lower(trim({x}, {_BLANK})), ';size=[0-9]+;?$', ''), {_BLANK}), ''), '*')"
 _PAIRS = f"""sets AS (SELECT DISTINCT plan_id, list_sort(list_distinct(list_filter(list_transform(members, lambda x: {_TIP('x')}), lambda x: x IS NOT NULL))) AS items
@@ -77,7 +101,7 @@ two AS (SELECT a.plan_id, a.tip AS tip_a, b.tip AS tip_b, count(*) AS n_ab FROM
 scored AS (SELECT t.plan_id, tip_a, tip_b, n_ab, x.n AS n_a, y.n AS n_b, n_baskets FROM two t JOIN total USING (plan_id)
     JOIN one x ON x.plan_id = t.plan_id AND x.tip = tip_a JOIN one y ON y.plan_id = t.plan_id AND y.tip = tip_b)"""
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_scores, p5_found, p6_ids, p6_roundtrip, p7_containers, p7_fill)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_scores, p5_found, p6_ids, p6_roundtrip, p7_containers, p7_fill, p8_found, p8_scores, p8_rates)}
 
 ORACLE = {
     "p4_found": f"WITH {_PAIRS} SELECT plan_id, tip_a, tip_b FROM scored WHERE n_ab >= 4 AND n_ab * n_baskets >= 3 * n_a * n_b",
