@@ -181,16 +181,54 @@ def _rows(p: Passages, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row[take], p.feature[take]
 
 
-def text_scores(texts: list[str], weights: np.ndarray) -> np.ndarray:
-    """The score of each text's worst passage, between 0 and 1; 0 for a text without words."""
-    p = passages(texts)
-    worst = np.full(len(texts), -np.inf)
+def _worst(p: Passages, weights: np.ndarray, texts: int) -> np.ndarray:
+    worst = np.full(texts, -np.inf)
     np.maximum.at(worst, p.text, _sums(p, weights) + weights[-1])
     return 1 / (1 + np.exp(-np.clip(worst, -700, 50)))
 
 
-def _swapped(text: str, pattern: re.Pattern, order: dict[str, str]) -> str:
-    return pattern.sub(lambda m: order[m[0].lower()], text)
+def text_scores(texts: list[str], weights: np.ndarray) -> np.ndarray:
+    """The score of each text's worst passage, between 0 and 1; 0 for a text without words."""
+    return _worst(passages(texts), weights, len(texts))
+
+
+@dataclass
+class Examples:
+    """Passages of labelled texts by content, and pairs that differ in the group they name.
+
+    ``twin`` holds the features of exchanged passages; ``twin_of`` numbers the passage each belongs to.
+    """
+
+    passages: Passages
+    content: np.ndarray
+    twin: np.ndarray
+    twin_of: np.ndarray
+
+
+def _content(p: Passages) -> np.ndarray:
+    return np.round(np.bincount(p.passage, (p.feature * 0.6180339887) % 1.0, p.n), 6)
+
+
+def examples(texts: list[str], identities: tuple[str, ...] = IDENTITIES, chunk: int = 200) -> Examples:
+    """Passages of ``texts``, a chunk at a time, each with its twin where it names a group."""
+    low = [i.lower() for i in identities]
+    other = {name: NEUTRAL[i // 2 % len(NEUTRAL)] if i % 2 else identities[(i + 1) % len(identities)] for i, name in enumerate(low)}
+    pattern = re.compile(r"\b(?:%s)\b" % "|".join(map(re.escape, sorted(identities, key=len, reverse=True))), re.I)
+    parts: list[list[np.ndarray]] = []
+    before = 0
+    for at in range(0, len(texts), chunk):
+        some = texts[at : at + chunk]
+        p, q = passages(some), passages([pattern.sub(lambda m: other[m[0].lower()], t) for t in some])
+        content = _content(p)
+        twin, twin_of = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        if p.n == q.n:  # else the exchange changed the cutting
+            differs = content != _content(q)
+            take = differs[q.passage]
+            twin, twin_of = q.feature[take], q.passage[take] + before
+        parts.append([x.astype(np.int32) for x in (p.feature, p.passage + before, p.text + at)] + [content, twin.astype(np.int32), twin_of.astype(np.int32)])
+        before += p.n
+    feature, passage, text, content, twin, twin_of = (np.concatenate(x) for x in zip(*parts))
+    return Examples(Passages(feature, passage, text), content, twin, twin_of)
 
 
 def train(
@@ -198,106 +236,91 @@ def train(
 ) -> np.ndarray:
     """Weights of ``fit``, after labels that look wrong are set aside.
 
-    Reviewers err: each text is scored by weights fitted to the other folds' labels, and is left out where
-    the score contradicts its label clearly.
+    ``labels`` are shares of reviewers that call a text abusive; over a half counts as abusive. Reviewers
+    err: each text is scored by weights fitted to the other folds' labels, and is left out where the score
+    contradicts its label clearly. Without texts of both kinds, the listed ``terms`` alone decide.
     """
     bad = labels > 0.5
+    if not bad.any() or bad.all():
+        weights = np.zeros((1 << BITS) + 1)
+        weights[passages([t + "." for t in terms]).feature] = 4.0
+        weights[-1] = -2.0
+        return weights
+    given = examples(texts, identities)
+    keep = np.ones(len(texts), bool)
     if bad.sum() >= 10 * folds and (~bad).sum() >= 10 * folds:
         fold = np.zeros(len(texts), int)
         for kind in (bad, ~bad):
             fold[kind] = np.arange(kind.sum()) % folds
-        score = np.zeros(len(texts))
         for k in range(folds):
-            rest = np.flatnonzero(fold != k)
-            weights = fit([texts[i] for i in rest], labels[rest], terms, identities, **settings)
-            held = np.flatnonzero(fold == k)
-            score[held] = text_scores([texts[i] for i in held], weights)
-        keep = np.flatnonzero(np.where(bad, score > 0.2, score < 0.98))
-        texts, labels = [texts[i] for i in keep], labels[keep]
-    return fit(texts, labels, terms, identities, **settings)
-
-
-def fit(
-    texts: list[str], labels: np.ndarray, terms: list[str], identities: tuple[str, ...] = IDENTITIES,
-    rounds: int = 3, steps: int = 40, ridge: float = 0.02, pairing: float = 1.0,
-) -> np.ndarray:
-    """Weights of a logistic classifier of passages (the last is the constant).
-
-    ``labels`` are shares of reviewers that call a text abusive. A text is as bad as its worst passage: in
-    each round the positive examples are the worst passages of texts with a share over a half by the
-    weights so far (at first: listed ``terms`` and how much rarer words are in the other texts), the negative ones all
-    distinct passages of the others. Counterfactual regularisation: every passage that names a group is
-    paired with itself naming another, and the square of the difference of the two scores, times
-    ``pairing``, is added to the loss, so that the name itself carries no blame.
+            held = fold == k
+            score = _worst(given.passages, fit(given, bad, ~held, **settings), len(texts))
+            keep[held] = np.where(bad, score > 0.2, score < 0.98)[held]
+        if not (bad & keep).any() or not (~bad & keep).any():
+            keep[:] = True
+    return fit(given, bad, keep, **settings)
+
+
+def fit(given: Examples, bad: np.ndarray, used: np.ndarray, rounds: int = 3, steps: int = 40, ridge: float = 0.02, pairing: float = 1.0) -> np.ndarray:
+    """Weights of a logistic classifier of passages (the last is the constant), from the ``used`` texts.
+
+    A text is as bad as its worst passage: in each round the positive examples are the worst passages of
+    bad texts by the weights so far (at first: by how much rarer their words are in the other texts), the
+    negative ones all distinct passages of the others, with their number. Counterfactual regularisation:
+    every passage that names a group is paired with its twin that names another group or a neutral word,
+    and the square of the difference of the two scores, times ``pairing``, is added to the loss, so that
+    the name itself carries no blame.
     """
-    weights = np.zeros((1 << BITS) + 1)
-    lexicon = passages([t + "." for t in terms])
-    bad = labels > 0.5
-    if not bad.any() or bad.all():
-        weights[lexicon.feature] = 4.0
-        weights[-1] = -2.0
-        return weights
-    p = passages(texts)
-    low = [i.lower() for i in identities]
-    order = {name: NEUTRAL[i // 2 % len(NEUTRAL)] if i % 2 else identities[(i + 1) % len(identities)] for i, name in enumerate(low)}
-    pattern = re.compile(r"\b(?:%s)\b" % "|".join(map(re.escape, sorted(identities, key=len, reverse=True))), re.I)
-    q = passages([_swapped(t, pattern, order) for t in texts])
+    p = given.passages
+    in_used, in_bad = used[p.text], bad[p.text]
     # how many texts of either kind hold each feature
-    held = np.unique(p.feature.astype(np.int64) << 32 | p.text[p.passage])
+    take = in_used[p.passage]
+    held = np.unique(p.feature[take].astype(np.int64) << 32 | p.text[p.passage[take]])
     kind = bad[held & 0xFFFFFFFF]
     n_bad, n_good = (np.bincount(held[kind == k] >> 32, minlength=1 << BITS) for k in (True, False))
-    weights[:-1] = np.where(n_bad > 0, np.log((n_bad + 0.1) / bad.sum()) - np.log((n_good + 0.1) / (~bad).sum()), 0).clip(0, 4)
-    # passages by content
-    content = np.bincount(p.passage, (p.feature * 0.6180339887) % 1.0, p.n)
-    swapped = np.bincount(q.passage, (q.feature * 0.6180339887) % 1.0, q.n) if q.n == p.n else content
-    _, first = np.unique(np.round(content, 6), return_index=True)
-    in_bad = bad[p.text]
-    good_content, times = np.unique(np.round(content[~in_bad], 6), return_counts=True)
-    distinct = first[np.isin(np.round(content[first], 6), good_content)]
-    times = times[np.searchsorted(good_content, np.round(content[distinct], 6))]
-    pairs = np.flatnonzero(np.abs(content - swapped) > 1e-9)  # none, should a swap have changed the cutting
-    _, few = np.unique(np.round(content[pairs], 6), return_index=True)
-    pairs = pairs[few]
-
+    weights = np.zeros((1 << BITS) + 1)
+    weights[:-1] = np.where(n_bad > 0, np.log((n_bad + 0.1) / (bad & used).sum()) - np.log((n_good + 0.1) / (~bad & used).sum()), 0).clip(0, 4)
+    score = _sums(p, weights) / np.sqrt(np.bincount(p.passage, minlength=p.n) + 4)
+
+    good = np.flatnonzero(in_used & ~in_bad)
+    _, first, times = np.unique(given.content[good], return_index=True, return_counts=True)
+    distinct = good[first]
+    pairs = np.unique(given.twin_of)
+    pairs = pairs[in_used[pairs]]
+    pairs = pairs[np.unique(given.content[pairs], return_index=True)[1]]
+    (pr, pf), (qr, qf) = _rows(p, pairs), _rows(Passages(given.twin, given.twin_of, p.text), pairs)
+
+    candidates = np.flatnonzero(in_used & in_bad)
     for round_ in range(rounds):
-        score = _sums(p, weights)
-        size = np.bincount(p.passage, minlength=p.n)
-        if round_ == 0:  # a first guess: mean of the telling words
-            score = score / np.sqrt(size + 4)
-        order_ = np.lexsort((score, p.text))
-        last = np.flatnonzero(np.r_[p.text[order_][1:] != p.text[order_][:-1], True])
-        worst = order_[last]
-        worst = worst[bad[p.text[worst]]]
+        order = candidates[np.lexsort((score[candidates], p.text[candidates]))]
+        worst = order[np.r_[p.text[order][1:] != p.text[order][:-1], True]]
         # after the first round, negative passages far from the border change nothing
-        near = np.ones(len(distinct), bool) if round_ == 0 else score[distinct] + weights[-1] > -7
-        others, times_seen = distinct[near], np.r_[np.ones(len(worst)), times[near]]
+        near = np.ones(len(distinct), bool) if round_ == 0 else score[distinct] > -7
+        others, number = distinct[near], np.r_[np.ones(len(worst)), times[near]]
         target = np.r_[np.ones(len(worst)), np.zeros(len(others))]
         (row, col), (more, more_col) = _rows(p, worst), _rows(p, others)
         row, col = np.r_[row, more + len(worst)], np.r_[col, more_col]
-        (pr, pf), (qr, qf) = _rows(p, pairs), _rows(q, pairs)
-        used = np.unique(np.concatenate([col, pf, qf]))
-        to = np.zeros(1 << BITS, np.int64)
-        to[used] = np.arange(len(used))
-        col_, pf_, qf_ = to[col], to[pf], to[qf]
-        w = np.zeros(len(used)) if round_ == 0 else weights[used].copy()
-        c = -3.0 if round_ == 0 else weights[-1]
-        moment, square, t = np.zeros(len(used) + 1), np.zeros(len(used) + 1), 0
-        for _ in range(steps):
-            z = np.bincount(row, w[col_], len(target)) + c
-            error = times_seen * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target)
-            grad = np.bincount(col_, error[row], len(used)) + ridge * w
+        features = np.unique(np.concatenate([col, pf, qf]))
+        to = np.zeros(1 << BITS, np.int32)
+        to[features] = np.arange(len(features))
+        col, own, other = to[col], to[pf], to[qf]
+        w = np.r_[np.zeros(len(features)), -3.0] if round_ == 0 else np.r_[weights[features], weights[-1]]
+        moment, square = np.zeros(len(w)), np.zeros(len(w))
+        for t in range(1, steps + 1):
+            z = np.bincount(row, w[col], len(target)) + w[-1]
+            error = number * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target)
+            grad = ridge * w
+            grad[:-1] += np.bincount(col, error[row], len(features))
+            grad[-1] = error.sum()
             if len(pairs):
-                gap = np.bincount(pr, w[pf_], len(pairs)) - np.bincount(qr, w[qf_], len(pairs))
-                grad += 2 * pairing * (np.bincount(pf_, gap[pr], len(used)) - np.bincount(qf_, gap[qr], len(used)))
-            full = np.r_[grad, error.sum()]
-            t += 1
-            moment = 0.9 * moment + 0.1 * full
-            square = 0.99 * square + 0.01 * full**2
-            step = 0.15 * (moment / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-6)
-            w -= step[:-1]
-            c -= step[-1]
+                gap = np.bincount(pr, w[own], len(pairs)) - np.bincount(qr, w[other], len(pairs))
+                grad[:-1] += 2 * pairing * (np.bincount(own, gap[pr], len(features)) - np.bincount(other, gap[qr], len(features)))
+            moment = 0.9 * moment + 0.1 * grad
+            square = 0.99 * square + 0.01 * grad**2
+            w -= 0.15 * (moment / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-6)
         weights = np.zeros((1 << BITS) + 1)
-        weights[used], weights[-1] = w, c
+        weights[features], weights[-1] = w[:-1], w[-1]
+        score = _sums(p, weights) + weights[-1]
     return weights
 
 
