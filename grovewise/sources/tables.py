@@ -46,7 +46,9 @@ def short_number(c: Column) -> Column:
 
 
 def write_tsv(df: DataFrame, path: str, columns: list[str]) -> None:
-    """Exactly the named columns, with a header, null as empty (S10, S11); refuses an existing path."""
+    """Exactly the named columns, with a header, null as empty (S10, S11); refuses an existing path.
+
+    A row needs a value: readers skip a line of nulls only."""
     if set(df.columns) != set(columns):
         raise ValueError(f"columns {df.columns} are not {columns}")
     shown = [short_number(F.col(c)).alias(c) if df.schema[c].dataType == T.DoubleType() else F.col(c) for c in columns]
