@@ -184,7 +184,7 @@ def _rows(p: Passages, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _worst(p: Passages, weights: np.ndarray, texts: int) -> np.ndarray:
     worst = np.full(texts, -np.inf)
     np.maximum.at(worst, p.text, _sums(p, weights) + weights[-1])
-    return 1 / (1 + np.exp(-np.clip(worst, -700, 50)))
+    return np.where(worst == -np.inf, 0.0, 1 / (1 + np.exp(-np.clip(worst, -700, 50))))
 
 
 def text_scores(texts: list[str], weights: np.ndarray) -> np.ndarray:
