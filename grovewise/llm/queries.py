@@ -12,7 +12,7 @@ from grovewise.llm.consolidate import sets_of
 from grovewise.llm.cooccur import together
 from grovewise.llm.packing import packed
 from grovewise.storage import Scratch
-from grovewise.plans.tables import current_groups, table
+from grovewise.plans.tables import table
 
 
 def _shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,14 @@ def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("plan_id", F.col("item_a").alias("tip_a"), F.col("item_b").alias("tip_b"), "n_ab", "n_a", "n_b", "n_baskets", "lift", "pmi")
 
 
+def p4_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each group of the last release's tips, the counts of the pairs of its tips, added up."""
+    found = together(_shards(spark, sf_dir), "plan_id", "members").select("item_a", "item_b", "n_ab")
+    members = table(spark, sf_dir, "group_members").select(ids.group_id(F.col("group_id")).alias("group_id"), ids.tip_id(F.col("tip_id")).alias("tip")).distinct()
+    one, two = members.withColumnRenamed("tip", "item_a"), members.withColumnRenamed("tip", "item_b")
+    return found.join(one, "item_a").join(two, ["group_id", "item_b"]).groupBy("group_id").agg(F.sum("n_ab").alias("votes"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The set of every tip in ``knn``, by links of at least 86 percent."""
     knn = table(spark, sf_dir, "knn")
@@ -101,12 +109,14 @@ two AS (SELECT a.plan_id, a.tip AS tip_a, b.tip AS tip_b, count(*) AS n_ab FROM
 scored AS (SELECT t.plan_id, tip_a, tip_b, n_ab, x.n AS n_a, y.n AS n_b, n_baskets FROM two t JOIN total USING (plan_id)
     JOIN one x ON x.plan_id = t.plan_id AND x.tip = tip_a JOIN one y ON y.plan_id = t.plan_id AND y.tip = tip_b)"""
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_scores, p5_found, p6_ids, p6_roundtrip, p7_containers, p7_fill, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_scores, p4_votes, p5_found, p6_ids, p6_roundtrip, p7_containers, p7_fill, p8_found, p8_scores, p8_rates)}
 
 ORACLE = {
     "p4_found": f"WITH {_PAIRS} SELECT plan_id, tip_a, tip_b FROM scored WHERE n_ab >= 4 AND n_ab * n_baskets >= 3 * n_a * n_b",
     "p4_scores": f"WITH {_PAIRS} SELECT plan_id, tip_a, tip_b, n_ab, n_a, n_b, n_baskets, n_ab * n_baskets / (n_a * n_b) AS lift, "
     "log2(n_ab * n_baskets / (n_a * n_b)) AS pmi FROM scored",
+    "p4_votes": f"""WITH {_PAIRS}, m AS (SELECT DISTINCT nullif(upper(trim(group_id, {_BLANK})), '') AS group_id, {_TIP('tip_id')} AS tip FROM group_members)
+        SELECT a.group_id, CAST(sum(n_ab) AS BIGINT) AS votes FROM scored JOIN m a ON a.tip = tip_a JOIN m b ON b.tip = tip_b AND a.group_id = b.group_id GROUP BY 1""",
     "p6_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p5_found": f"""WITH RECURSIVE named AS (SELECT {_TIP('query')} AS a, {_TIP('target')} AS b, CASE WHEN identity <= 1 THEN identity >= 0.86 ELSE identity >= 86 END AS ok FROM knn),
         tip AS (SELECT a AS id FROM named WHERE a IS NOT NULL UNION SELECT b FROM named WHERE b IS NOT NULL),
