@@ -106,3 +106,8 @@ def chunk_of(place: Column, total: Column, chunks: int) -> Column:
 def gap_ratio(nearest: Column, spread: Column, floor: Column) -> Column:
     """Distance to the nearest other group over the own spread, at least the floor."""
     return nearest / F.greatest(F.coalesce(spread, F.lit(0.0)), floor)
+
+
+def fingerprint(*parts: Column) -> Column:
+    """A hash of named values in a fixed order."""
+    return F.sha2(F.to_json(F.struct(*parts)), 256)

@@ -61,3 +61,8 @@ def nested(levels: DataFrame) -> None:
     b = levels.select((F.col("k") - 1).alias("k"), "tip", F.col("grp").alias("parent"))
     split = a.join(b, ["k", "tip"]).groupBy("k", "grp").agg(F.count_distinct("parent").alias("n"), F.count_if(F.col("parent").isNull()).alias("lost"))
     refuse(split.filter((F.col("n") > 1) | (F.col("lost") > 0)), "a group isn't within one coarser group")
+
+
+def within_one(rows: DataFrame, inner: str, outer: str) -> None:
+    """Each unit lies in one component."""
+    refuse(rows.groupBy(inner).agg(F.min(outer).alias("a"), F.max(outer).alias("b")).filter(F.col("a") != F.col("b")), f"a {inner} spans more than one {outer}")

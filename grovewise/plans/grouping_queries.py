@@ -15,8 +15,10 @@ from grovewise.operators import lineage as lines
 from grovewise.operators.dereplicate import dereplicate, summary
 from grovewise.operators.hotkeys import top_per_key
 from grovewise.plans.tables import table
+from grovewise.storage import Scratch
 
 LEVELS = [0.0, 0.01, 0.02, 0.05]
+CUTS = [0.02, 0.03, 0.04]
 
 
 def _shard_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,7 +249,7 @@ def average_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cut_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of the linkage at each level."""
     tips = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tip"))
-    return linkage.cut(_merges(spark, sf_dir), tips, [0.02, 0.03, 0.04])
+    return linkage.cut(_merges(spark, sf_dir), tips, CUTS)
 
 
 def stem_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,6 +262,48 @@ def weakest_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.weakest(_merges(spark, sf_dir))
 
 
+def formed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of the linkage that stay the same over levels."""
+    return linkage.formed_nodes(cut_groups(spark, sf_dir))
+
+
+def enclosing_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coarser group around each group of the linkage."""
+    return linkage.enclosing(Scratch(spark).keep(cut_groups(spark, sf_dir)), CUTS)
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = table(spark, sf_dir, "group_members")
+    return members.select(ids.group_id(F.col("group_id")).alias("grp"), ids.tip_id(F.col("tip_id")).alias("tip")).distinct()
+
+
+def group_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least and median identity within the finest groups."""
+    return layers.identities(_hits(spark, sf_dir), _members(spark, sf_dir))
+
+
+def _unit_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit_of = _members(spark, sf_dir).groupBy("tip").agg(F.min("grp").alias("unit"))
+    return layers.unit_neighbours(_hits(spark, sf_dir).filter(F.col("identity").isNotNull()), unit_of, 30)
+
+
+def unit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 30 nearest groups of each finest group by their best hit."""
+    return _unit_near(spark, sf_dir)
+
+
+def unit_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cover of the finest groups by shards of five, two deep."""
+    found = layers.unit_cover(_unit_near(spark, sf_dir), 5, 2)
+    return found.select("cover", "seed", F.array_join("members", ",").alias("members"), "n")
+
+
+def context_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest groups of each shard's seed beyond its members."""
+    near = Scratch(spark).keep(_unit_near(spark, sf_dir))
+    return layers.context_units(near, layers.unit_cover(near, 5, 2), 20)
+
+
 def large_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to three largest parts of each brand."""
     return top_per_key(table(spark, sf_dir, "part"), ["p_brand"], [("p_size", "descending"), ("p_partkey", "ascending")], 3, ["p_brand", "p_partkey", "p_size"])
@@ -269,7 +313,7 @@ QUERIES = {f.__name__: f for f in (
     content_dedup, input_summary, pair_consensus, votes_at_levels, membership, cohesion_held, tip_pull, group_margin, level_summary, separation, unit_pairs,
     knn_top, component_anchors, outgroups_top8, scaffold_top, coverage_account, twin_shards, distinct_shards, central_shards, hash_cover, sparse_plan,
     vector_neighbours, lineage, minted_ids, adjusted_rand, candidate_status, status_counts, assigned, chunk_contiguous, average_linkage, cut_groups,
-    stem_nodes, weakest_links, large_parts,
+    stem_nodes, weakest_links, formed_nodes, enclosing_groups, group_identities, unit_neighbours, unit_cover, context_units, large_parts,
 )}
 
 _VOTES = """base AS (SELECT l_orderkey AS shard, l_suppkey AS tip, min(l_discount) AS x FROM lineitem GROUP BY 1, 2),
@@ -366,6 +410,12 @@ ORACLE = {
         pa AS (SELECT sum(n * (n - 1)) AS p FROM (SELECT sum(n) AS n FROM c GROUP BY a)), pb AS (SELECT sum(n * (n - 1)) AS p FROM (SELECT sum(n) AS n FROM c GROUP BY b))
         SELECT (CAST(x.p AS DOUBLE) - CAST(pa.p AS DOUBLE) * CAST(pb.p AS DOUBLE) / (CAST(x.n AS DOUBLE) * (CAST(x.n AS DOUBLE) - 1))) / ((CAST(pa.p AS DOUBLE) + CAST(pb.p AS DOUBLE)) / 2
             - CAST(pa.p AS DOUBLE) * CAST(pb.p AS DOUBLE) / (CAST(x.n AS DOUBLE) * (CAST(x.n AS DOUBLE) - 1))) AS adjusted_rand FROM x, pa, pb""",
+    "group_identities": f"""WITH {_HITS}, m AS (SELECT DISTINCT nullif(upper(trim(group_id, {_BLANK})), '') AS grp, {_TIP('tip_id')} AS tip FROM group_members),
+        p AS (SELECT least(query, target) AS i, greatest(query, target) AS j, max(identity) AS identity FROM hits WHERE identity IS NOT NULL GROUP BY 1, 2)
+        SELECT a.grp, count(*) AS pairs, min(identity) AS identity_min, quantile_cont(identity, 0.5) AS identity_median FROM p JOIN m a ON a.tip = i JOIN m b ON b.tip = j AND b.grp = a.grp GROUP BY 1""",
+    "unit_neighbours": f"""WITH {_HITS}, u AS (SELECT {_TIP('tip_id')} AS tip, min(nullif(upper(trim(group_id, {_BLANK})), '')) AS unit FROM group_members GROUP BY 1)
+        SELECT a.unit AS ua, b.unit AS ub, max(identity) AS identity FROM hits JOIN u a ON a.tip = query JOIN u b ON b.tip = target WHERE a.unit <> b.unit AND identity IS NOT NULL
+        GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY a.unit ORDER BY max(identity) DESC, b.unit) <= 30""",
     "candidate_status": f"WITH RECURSIVE {_HOME} SELECT * FROM state",
     "status_counts": f"WITH RECURSIVE {_HOME} SELECT status, count(*) AS n FROM state GROUP BY 1",
     "assigned": """WITH r AS (SELECT l_orderkey AS query, l_suppkey AS member, list_sort(list(l_discount)) AS vs, count(*) AS n FROM lineitem GROUP BY 1, 2),
