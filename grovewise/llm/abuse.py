@@ -329,10 +329,14 @@ def labelled(texts: DataFrame, labels: DataFrame, key: str, text: str, label: st
     reviewers that call each abusive. A reviewer's repeated rows count once (the greatest label); null labels don't count."""
     votes = labels.filter(F.col(label).isNotNull()).groupBy(key, reviewer).agg(F.max(label).alias("vote"))
     share = votes.groupBy(key).agg(F.avg("vote").alias("share"))
-    rows = texts.filter(F.col(text).isNotNull()).select(key, text).join(share, key)
+    known = share.join(texts.filter(F.col(text).isNotNull()).select(key), key, "left_semi")
     order = F.xxhash64(F.col(key)), F.col(key)
-    picked = [r for c, most in ((F.col("share") > 0.5, most_bad), (F.col("share") <= 0.5, most_good)) for r in rows.filter(c).orderBy(*order).limit(most).collect()]
-    return [r[text] for r in picked], np.array([r["share"] for r in picked], float)
+    bad = known.filter(F.col("share") > 0.5).orderBy(*order).limit(most_bad)
+    good = known.filter(F.col("share") <= 0.5).orderBy(*order).limit(most_good)
+    picked = F.broadcast(bad.unionAll(good))  # at most most_bad + most_good keys; texts are fetched for these only
+    rows = texts.select(key, text).join(picked, key).collect()
+    rows.sort(key=lambda r: r[key])
+    return [r[text] for r in rows], np.array([r["share"] for r in rows], float)
 
 
 def scored(texts: DataFrame, key: str, text: str, weights: np.ndarray, out: str = "score", keep: tuple[str, ...] = ()) -> DataFrame:
