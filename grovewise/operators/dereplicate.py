@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from grovewise.functions import records
 
 
-def dereplicate(rows: DataFrame, seq: str, order: str, name: str) -> DataFrame:
+def dereplicate(rows: DataFrame, seq: str, order: str) -> DataFrame:
     """``input_id``, the sequence first seen, and the number of records of each content (A1).
 
     Orientation doesn't matter for the id. Null and empty sequences are left out. Ties in ``order`` go to

@@ -44,7 +44,7 @@ def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by content."""
-    return dereplicate(table(spark, sf_dir, "documents"), "text", "doc_id", "paper_id")
+    return dereplicate(table(spark, sf_dir, "documents"), "text", "doc_id")
 
 
 def input_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,7 +44,3 @@ class Scratch:
                 at = jvm.org.apache.hadoop.fs.Path(path)
                 at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
-
-def rename_clear(df: DataFrame, taken: set[str]) -> dict[str, str]:
-    """A free internal name for each column of ``df`` that clashes with ``taken``."""
-    return {c: f"{c}__own" for c in df.columns if c in taken}

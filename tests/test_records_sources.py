@@ -16,7 +16,7 @@ def test_fasta_to_inputs(spark, tmp_path, rows):
     (tmp_path / "x.fa").write_text(">a first\nACGT-\nTTGA\n>b\nacgtttga\n>c\nTCAAACGT\n>d\nGGGCCC\n>e\n")
     df = fasta.read_fasta(spark, str(tmp_path / "x.fa"))
     assert [(r["id"], r["seq"]) for r in df.orderBy("ord").collect()] == [("a", "ACGT-TTGA"), ("b", "acgtttga"), ("c", "TCAAACGT"), ("d", "GGGCCC"), ("e", "")]
-    found = dereplicate(df, "seq", "ord", "id").collect()
+    found = dereplicate(df, "seq", "ord").collect()
     assert sorted((r["seq"], r["n_records"]) for r in found) == [("ACGTTTGA", 3), ("GGGCCC", 1)]
     assert carriers(df, "seq", "id").count() == 4
     assert rows(summary(df, "seq")) == [(5, 1, 2, 1, 3)]
