@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -204,6 +205,12 @@ class Examples:
     twin: np.ndarray
     twin_of: np.ndarray
 
+    @cached_property
+    def held(self) -> np.ndarray:
+        """Each feature of each text, once: the feature in the upper 32 bits, the text in the lower."""
+        p = self.passages
+        return np.unique(p.feature.astype(np.int64) << 32 | p.text[p.passage])
+
 
 def _content(p: Passages) -> np.ndarray:
     return np.round(np.bincount(p.passage, (p.feature * 0.6180339887) % 1.0, p.n), 6)
@@ -232,13 +239,16 @@ def examples(texts: list[str], identities: tuple[str, ...] = IDENTITIES, chunk:
 
 
 def train(
-    texts: list[str], labels: np.ndarray, terms: list[str], identities: tuple[str, ...] = IDENTITIES, folds: int = 2, **settings
+    texts: list[str], labels: np.ndarray, terms: list[str], identities: tuple[str, ...] = IDENTITIES, folds: int = 4, passes: int = 1,
+    votes: np.ndarray | None = None, **settings,
 ) -> np.ndarray:
     """Weights of ``fit``, after labels that look wrong are set aside.
 
     ``labels`` are shares of reviewers that call a text abusive; over a half counts as abusive. Reviewers
     err: each text is scored by weights fitted to the other folds' labels, and is left out where the score
-    contradicts its label clearly. Without texts of both kinds, the listed ``terms`` alone decide.
+    contradicts its label clearly, unless at least two reviewers (``votes`` counts them) gave it and none
+    another. Each further pass fits to the labels that the one before left, so that a rare kind of abuse
+    comes back once enough of it stands. Without texts of both kinds, the listed ``terms`` alone decide.
     """
     bad = labels > 0.5
     if not bad.any() or bad.all():
@@ -248,16 +258,20 @@ def train(
         return weights
     given = examples(texts, identities)
     keep = np.ones(len(texts), bool)
+    agreed = np.zeros(len(texts), bool) if votes is None else (votes >= 2) & ((labels == 0) | (labels == 1))
     if bad.sum() >= 10 * folds and (~bad).sum() >= 10 * folds:
         fold = np.zeros(len(texts), int)
         for kind in (bad, ~bad):
             fold[kind] = np.arange(kind.sum()) % folds
-        for k in range(folds):
-            held = fold == k
-            score = _worst(given.passages, fit(given, bad, ~held, **settings), len(texts))
-            keep[held] = np.where(bad, score > 0.2, score < 0.98)[held]
-        if not (bad & keep).any() or not (~bad & keep).any():
-            keep[:] = True
+        for _ in range(passes):
+            stands = agreed.copy()
+            for k in range(folds):
+                held = fold == k
+                score = _worst(given.passages, fit(given, bad, keep & ~held, **settings), len(texts))
+                stands[held] |= np.where(bad, score > 0.2, score < 0.98)[held]
+            if not (bad & stands).any() or not (~bad & stands).any():
+                break
+            keep = stands
     return fit(given, bad, keep, **settings)
 
 
@@ -274,12 +288,14 @@ def fit(given: Examples, bad: np.ndarray, used: np.ndarray, rounds: int = 3, ste
     p = given.passages
     in_used, in_bad = used[p.text], bad[p.text]
     # how many texts of either kind hold each feature
-    take = in_used[p.passage]
-    held = np.unique(p.feature[take].astype(np.int64) << 32 | p.text[p.passage[take]])
+    held = given.held[used[given.held & 0xFFFFFFFF]]
     kind = bad[held & 0xFFFFFFFF]
     n_bad, n_good = (np.bincount(held[kind == k] >> 32, minlength=1 << BITS) for k in (True, False))
     weights = np.zeros((1 << BITS) + 1)
-    weights[:-1] = np.where(n_bad > 0, np.log((n_bad + 0.1) / (bad & used).sum()) - np.log((n_good + 0.1) / (~bad & used).sum()), 0).clip(0, 4)
+    # log odds in units of their error, so that a word of one text alone counts less than one of several
+    odds = np.log((n_bad + 0.5) / (bad & used).sum()) - np.log((n_good + 0.5) / (~bad & used).sum())
+    odds /= np.sqrt(1 / (n_bad + 0.5) + 1 / (n_good + 0.5))
+    weights[:-1] = np.where(n_bad > 0, odds, 0).clip(0, 4)
     score = _sums(p, weights) / np.sqrt(np.bincount(p.passage, minlength=p.n) + 4)
 
     good = np.flatnonzero(in_used & ~in_bad)
@@ -291,11 +307,14 @@ def fit(given: Examples, bad: np.ndarray, used: np.ndarray, rounds: int = 3, ste
     (pr, pf), (qr, qf) = _rows(p, pairs), _rows(Passages(given.twin, given.twin_of, p.text), pairs)
 
     candidates = np.flatnonzero(in_used & in_bad)
-    for round_ in range(rounds):
+    near, round_ = np.ones(len(distinct), bool), 0
+    while round_ < rounds or (round_ < 2 * rounds and (score[distinct[~near]] > -2).any()):
         order = candidates[np.lexsort((score[candidates], p.text[candidates]))]
         worst = order[np.r_[p.text[order][1:] != p.text[order][:-1], True]]
-        # after the first round, negative passages far from the border change nothing
-        near = np.ones(len(distinct), bool) if round_ == 0 else score[distinct] > -7
+        # after the first round, negative passages far from the border wait, and come back for good (with a
+        # round more, if need be) where the weights have moved towards them
+        if round_:
+            near = score[distinct] > -7 if round_ == 1 else near | (score[distinct] > -7)
         others, number = distinct[near], np.r_[np.ones(len(worst)), times[near]]
         target = np.r_[np.ones(len(worst)), np.zeros(len(others))]
         (row, col), (more, more_col) = _rows(p, worst), _rows(p, others)
@@ -321,14 +340,18 @@ def fit(given: Examples, bad: np.ndarray, used: np.ndarray, rounds: int = 3, ste
         weights = np.zeros((1 << BITS) + 1)
         weights[features], weights[-1] = w[:-1], w[-1]
         score = _sums(p, weights) + weights[-1]
+        round_ += 1
     return weights
 
 
-def labelled(texts: DataFrame, labels: DataFrame, key: str, text: str, label: str, reviewer: str, most_bad: int = 1500, most_good: int = 4000) -> tuple[list[str], np.ndarray]:
+def labelled(
+    texts: DataFrame, labels: DataFrame, key: str, text: str, label: str, reviewer: str, most_bad: int = 1500, most_good: int = 4000, with_votes: bool = False
+) -> tuple[np.ndarray | list[str], ...]:
     """At most ``most_bad`` and ``most_good`` labelled texts, picked by a hash of the key, with the share of
-    reviewers that call each abusive. A reviewer's repeated rows count once (the greatest label); null labels don't count."""
+    reviewers that call each abusive, and perhaps their number. A reviewer's repeated rows count once (the
+    greatest label); null labels don't count."""
     votes = labels.filter(F.col(label).isNotNull()).groupBy(key, reviewer).agg(F.max(label).alias("vote"))
-    share = votes.groupBy(key).agg(F.avg("vote").alias("share"))
+    share = votes.groupBy(key).agg(F.avg("vote").alias("share"), F.count(F.lit(1)).alias("votes"))
     known = share.join(texts.filter(F.col(text).isNotNull()).select(key), key, "left_semi")
     order = F.xxhash64(F.col(key)), F.col(key)
     bad = known.filter(F.col("share") > 0.5).orderBy(*order).limit(most_bad)
@@ -336,7 +359,8 @@ def labelled(texts: DataFrame, labels: DataFrame, key: str, text: str, label: st
     picked = F.broadcast(bad.unionAll(good))  # at most most_bad + most_good keys; texts are fetched for these only
     rows = texts.select(key, text).join(picked, key).collect()
     rows.sort(key=lambda r: r[key])
-    return [r[text] for r in rows], np.array([r["share"] for r in rows], float)
+    found = [r[text] for r in rows], np.array([r["share"] for r in rows], float), np.array([r["votes"] for r in rows], int)
+    return found if with_votes else found[:2]
 
 
 def scored(texts: DataFrame, key: str, text: str, weights: np.ndarray, out: str = "score", keep: tuple[str, ...] = ()) -> DataFrame:

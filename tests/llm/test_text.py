@@ -135,3 +135,16 @@ def test_without_labels(spark):
     labels = spark.createDataFrame([(1, "r", 1), (1, "r", 1), (1, "q", 0), (2, "r", 1), (3, "r", None)], "doc_id long, reviewer string, abusive int")
     texts_, shares = abuse.labelled(docs, labels, "doc_id", "text", "abusive", "reviewer")
     assert texts_ == ["x"] and shares.tolist() == [0.5]
+
+
+def test_a_rare_kind_stands_where_reviewers_agree():
+    rng = random.Random(8)
+    benign = ["The mesh was stored at low heat.", "Each graph has a kernel.", "We thank the station for its data.", "A file cut was used here."]
+    data = [(f"{rng.choice(benign)} You are a moron and a liar. Sample {i}.", 1.0, 1) for i in range(60)]
+    data += [(f"{rng.choice(benign)} {rng.choice(benign)} Sample {i + 1000}.", 0.0, 1) for i in range(200)]
+    data += [(f"{rng.choice(benign)} Go choke on your proof, wretch. Sample {i + 2000}.", 1.0, 3) for i in range(3)]
+    rng.shuffle(data)
+    texts_, labels, votes = zip(*data)
+    w = abuse.train(list(texts_), np.array(labels), ["moron"], votes=np.array(votes))
+    seen = score(["Each graph has a kernel. Go choke on your proof, wretch.", "You are a moron and a liar.", "We thank the station for its data. Each graph has a kernel."], w)
+    assert seen[0] > 0.5 and seen[1] > 0.5 and seen[2] < 0.3
