@@ -25,8 +25,8 @@ def _first_rows(table: pa.Table, keys: list[str], order: list[tuple[str, str]],
     """The first k rows of each key of a small table, sorted."""
     codes = [table.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy() for c in keys]
     rank = pc.sort_indices(
-        table.append_column("__code", pa.array(_joint(codes))),
-        sort_keys=[("__code", "ascending"), *order],
+        pa.table([pa.array(_joint(codes)), *(_nan_last(table.column(c)) for c, _ in order)], names=[str(i) for i in range(len(order) + 1)]),
+        sort_keys=[("0", "ascending"), *((str(i), way) for i, (_, way) in enumerate(order, 1))],
     ).to_numpy()
     code = _joint(codes)[rank]
     new = np.r_[True, code[1:] != code[:-1]] if len(code) else np.zeros(0, bool)
@@ -35,6 +35,11 @@ def _first_rows(table: pa.Table, keys: list[str], order: list[tuple[str, str]],
     return table.take(pa.array(rank[at - begins < k]))
 
 
+def _nan_last(column: pa.ChunkedArray) -> pa.ChunkedArray:
+    """NaN as null: neither is among the best."""
+    return pc.if_else(pc.is_nan(column), None, column) if pa.types.is_floating(column.type) else column
+
+
 def _joint(codes: list[np.ndarray]) -> np.ndarray:
     """One integer for each combination of codes."""
     joint = codes[0].astype(np.int64)
@@ -57,8 +62,8 @@ def top_per_key(
     share.
 
     Ties beyond ``order`` are broken arbitrarily, so name a unique last column. Repeated rows count each.
-    Null keys form a group of their own; nulls in ``order`` come last. Columns are those of ``columns``
-    (default: all); an empty table gives an empty result.
+    Null keys form a group of their own; nulls and NaN in ``order`` come last. Columns are those of
+    ``columns`` (default: all); an empty table gives an empty result.
     """
     kept = columns or df.columns
     narrow = df.select(*kept)
@@ -80,6 +85,8 @@ def top_per_key(
             yield from _first_rows(pa.concat_tables(held), keys, order, k).combine_chunks().to_batches()
 
     states = narrow.mapInArrow(combine, narrow.schema)
-    by = [F.col(c).desc_nulls_last() if way == "descending" else F.col(c).asc_nulls_last() for c, way in order]
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
-    return states.withColumn("__place", place).filter(F.col("__place") <= k).drop("__place")
+    known = lambda c: F.nanvl(F.col(c), F.lit(None)) if narrow.schema[c].dataType.typeName() in ("double", "float") else F.col(c)
+    by = [known(c).desc_nulls_last() if way == "descending" else known(c).asc_nulls_last() for c, way in order]
+    place = "_".join(["__place", *kept])  # longer than any name given
+    ranked = states.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
+    return ranked.filter(F.col(f"`{place}`") <= k).drop(place)

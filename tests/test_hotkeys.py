@@ -41,3 +41,11 @@ def test_several_keys_and_empty(spark):
 def test_totals(spark, rows):
     df = spark.createDataFrame([("a", 1), ("a", None), (None, 4)], "k string, n int")
     assert rows(totals_per_key(df, ["k"], n=F.count("n"), s=F.sum("n"))) == [(None, 1, 4), ("a", 1, 1)]
+
+
+def test_nan_and_clashing_names(spark):
+    data = [("a", float("nan"), "x", 1), ("a", 1.0, "y", 2), ("a", 2.0, "z", 3), ("b", None, "q", 4), ("b", float("nan"), "p", 5)]
+    df = spark.createDataFrame(data, "key string, n double, id string, __place int").withColumn("__code", F.lit(7)).withColumn("0", F.lit("s"))
+    got = top_per_key(df, ["key"], ORDER, 2)
+    assert got.columns == df.columns
+    assert sorted((r["key"], r["id"]) for r in got.collect()) == [("a", "y"), ("a", "z"), ("b", "p"), ("b", "q")]
