@@ -77,7 +77,8 @@ def hierarchy(
 
     ``links`` has one row for each node. A node whose parent is null or no node of the table is a root.
     Result: the node's column, ``root_id``, ``depth`` and perhaps ``path`` (array, root first). For a node
-    on a cycle, or below one, ``depth`` is -1, ``root_id`` the smallest node on the cycle and ``path`` null.
+    on a cycle, or below one, ``depth`` is -1, ``root_id`` the smallest node on the cycle and ``path`` null;
+    with ``with_path`` such a node also shows its parent as ``up`` (null elsewhere), for ``descendants``.
     Rows with a null node are left out; repeated rows of a node count once (the greatest parent wins).
 
     Method: blocks of at most about ``block_rows`` links each resolve what lies within them as a weighted
@@ -171,16 +172,37 @@ def hierarchy(
         else:
             known.append(part.filter(F.col("state") == OPEN).withColumn("state", F.lit(ROOT)).select(*final))
         done = scratch.keep(reduce(DataFrame.unionAll, known))
+    names = ["node", "root", "depth", *(["path"] if with_path else [])]
     whole = roots if done is None else roots.unionAll(done)
-    return whole.select(F.col("node").alias(node), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), *(["path"] if with_path else []))
+    if with_path:
+        none = F.lit(None).cast(kind).alias("up")
+        endless = [] if done is None else [done.filter("depth = -1").join(given.select("node", F.col("top").alias("up")), "node").select(*names, "up")]
+        whole = reduce(DataFrame.unionAll, endless, whole.filter("depth >= 0").select(*names, none))
+    return whole.select(F.col("node").alias(node), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), *(["path", "up"] if with_path else []))
 
 
-def descendants(paths: DataFrame, node: str, path: str = "path") -> DataFrame:
+def descendants(paths: DataFrame, node: str, path: str = "path", scratch: Scratch | None = None) -> DataFrame:
     """One row for each node and each node below it: ``node``, ``descendant_id``, ``distance`` (1 for a child).
 
-    Nodes without a path (on or below a cycle) have no rows. The rows come from each node's own path, so
-    none is gathered at the root of a large tree.
+    ``paths`` is what ``hierarchy`` gives with ``with_path``. Below a node on a cycle lie all other nodes of
+    the cycle and whatever hangs below any of them, at the fewest steps; no node lies below itself.
+
+    The rows come from each node's own path, so none is gathered at the root of a large tree. A cycle is cut
+    above its smallest node, which makes it the trunk of a finite tree with paths of its own; nodes of the
+    trunk that a path leaves out are reached once around the cycle.
     """
+    endless = paths.filter(F.col("up").isNotNull())
+    cut = hierarchy(endless.select(node, F.when(F.col(node) != F.col("root_id"), F.col("up")).alias("up")), node, "up", with_path=True, scratch=scratch)
+    cut = cut.select(node, "root_id", F.col("path").alias(path))
+    last = endless.filter(F.col(node) == F.col("root_id")).select(F.col("up").alias(node))
+    trunk = cut.join(last, node).select("root_id", F.col(path).alias("trunk"))
+
     up = F.slice(F.col(path), F.lit(1), F.greatest(F.size(path) - 1, F.lit(0)))
-    rows = paths.filter(F.size(path) > 1).select(F.col(node).alias("descendant_id"), F.size(path).alias("__n"), F.posexplode(up).alias("__at", node))
-    return rows.select(node, "descendant_id", (F.col("__n") - 1 - F.col("__at")).alias("distance"))
+    finite = paths.filter(F.size(path) > 1).select(node, path).unionAll(cut.filter(F.size(path) > 1).select(node, path))
+    rows = finite.select(F.col(node).alias("descendant_id"), F.size(path).alias("__n"), F.posexplode(up).alias("__at", node))
+    direct = rows.select(node, "descendant_id", (F.col("__n") - 1 - F.col("__at")).alias("distance"))
+
+    shared, n = F.size(F.array_intersect(path, "trunk")), F.size("trunk")
+    beyond = F.slice(F.col("trunk"), shared + 1, n - shared)
+    turn = cut.join(trunk, "root_id").select(F.col(node).alias("descendant_id"), F.size(path).alias("__n"), (n - shared).alias("__left"), F.posexplode(beyond).alias("__at", node))
+    return direct.unionAll(turn.select(node, "descendant_id", (F.col("__n") - 1 + F.col("__left") - F.col("__at")).alias("distance")))

@@ -55,3 +55,18 @@ def test_descendants(spark, rows):
     df = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "x")], "g string, p string")
     found = descendants(hierarchy(df, "g", "p", with_path=True), "g")
     assert rows(found) == [("a", "b", 1), ("a", "c", 2), ("b", "c", 1)]
+
+
+@pytest.mark.parametrize("block", [7, 100_000])
+def test_descendants_on_and_below_cycles(spark, rows, block):
+    links = {"r": None, "r1": "r", "a": "c", "b": "a", "c": "b", "b1": "b", "b2": "b1", "b3": "b1", "self": "self", "s1": "self", "s2": "s1"}
+    links |= {f"z{i:02d}": f"z{(i + 7) % 15:02d}" for i in range(15)} | {f"y{i:02d}": f"y{i - 1:02d}" if i else "z03" for i in range(20)}
+    want = []
+    for x in links:
+        at, seen = links[x], []
+        while at in links and at not in seen:
+            seen.append(at)
+            at = links[at]
+        want += [(a, x, d) for d, a in enumerate(seen, 1) if a != x]
+    df = spark.createDataFrame(list(links.items()), "g string, p string").repartition(3)
+    assert rows(descendants(hierarchy(df, "g", "p", with_path=True, block_rows=block), "g")) == sorted(want)
