@@ -13,9 +13,11 @@ from grovewise.operators.hotkeys import top_per_key
 from grovewise.storage import Scratch
 
 
-def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None, vertices: DataFrame | None = None) -> DataFrame:
     """``v``, ``component``: the smallest vertex that each vertex of ``edges(a, b)`` is joined to.
 
+    A vertex of ``vertices(v)`` without edges is its own component.
+
     Alternates two steps until nothing moves: every vertex sends its larger neighbours, then its smaller
     ones and itself, to the smallest vertex that it sees. Each step is a minimum for each vertex, combined
     before the shuffle, and a join. The rounds grow with the logarithm of the graph's size.
@@ -37,7 +39,11 @@ def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
             break
     found = links.groupBy("v").agg(F.min("u").alias("component"))
     roots = found.select(F.col("component").alias("v"), "component").distinct()
-    return found.unionAll(roots)
+    found = found.unionAll(roots)
+    if vertices is None:
+        return found
+    lone = vertices.filter(F.col("v").isNotNull()).select("v", F.col("v").alias("component"))
+    return found.unionAll(lone).groupBy("v").agg(F.min("component").alias("component"))
 
 
 def anchors(members: DataFrame, component: str, tip: str, copies: str) -> DataFrame:

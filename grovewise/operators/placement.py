@@ -10,12 +10,14 @@ def candidates(hits: DataFrame, home: DataFrame, queries: DataFrame, built: Data
     """Best reference of each query, its component, and what can be done with it.
 
     ``hits(query, target, identity)``, ``home(target, component)``, ``queries(query)``, ``built(component)``.
-    All targets tied at the best identity count; the smallest is the candidate. Status: ``no_match``,
-    ``spans_components``, ``not_built`` or ``job``.
+    All targets tied at the best identity count, those without a component too (together they count as one
+    that isn't built); the smallest is the candidate. Status: ``no_match``, ``spans_components``,
+    ``not_built`` or ``job``.
     """
-    known = hits.filter(F.col("identity").isNotNull()).join(home, "target")
+    known = hits.filter(F.col("identity").isNotNull()).join(home, "target", "left")
     best = known.groupBy("query").agg(F.max("identity").alias("identity"))
-    tied = known.join(best, ["query", "identity"]).groupBy("query", "identity").agg(F.min("target").alias("candidate"), F.min("component").alias("component"), F.count_distinct("component").alias("n_components"))
+    n_components = F.count_distinct("component") + F.max(F.col("component").isNull().cast("int"))
+    tied = known.join(best, ["query", "identity"]).groupBy("query", "identity").agg(F.min("target").alias("candidate"), F.min("component").alias("component"), n_components.alias("n_components"))
     whole = queries.select("query").distinct().join(tied, "query", "left").join(built.select("component").distinct().withColumn("is_built", F.lit(True)), "component", "left")
     status = F.when(F.col("candidate").isNull(), "no_match").when(F.col("n_components") > 1, "spans_components").when(F.col("is_built").isNull(), "not_built").otherwise("job")
     return whole.select("query", "candidate", "identity", F.when(F.col("n_components") == 1, F.col("component")).alias("component"), status.alias("status"))

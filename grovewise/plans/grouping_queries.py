@@ -119,13 +119,20 @@ def knn_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbours(_hits(spark, sf_dir).filter(F.col("identity").isNotNull()), 5)
 
 
+def _knn_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tip of the search, found or not."""
+    tips = table(spark, sf_dir, "knn").select(F.explode(F.array(ids.tip_id(F.col("query")), ids.tip_id(F.col("target")))).alias("tip"))
+    return tips.filter(F.col("tip").isNotNull()).distinct()
+
+
 def _home(spark: SparkSession, sf_dir: str) -> DataFrame:
     strong = _hits(spark, sf_dir).filter(F.col("identity") >= 86)
-    return graph.components(strong.select(F.col("query").alias("a"), F.col("target").alias("b"))).withColumnRenamed("v", "tip")
+    vertices = _knn_tips(spark, sf_dir).withColumnRenamed("tip", "v")
+    return graph.components(strong.select(F.col("query").alias("a"), F.col("target").alias("b")), vertices=vertices).withColumnRenamed("v", "tip")
 
 
 def component_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of tips linked at 86 percent; the member hit most often stands for each."""
+    """Components of tips linked at 86 percent, lone ones too; the member hit most often stands for each."""
     hit = _hits(spark, sf_dir).groupBy(F.col("target").alias("tip")).agg(F.count(F.lit(1)).alias("copies"))
     members = _home(spark, sf_dir).join(hit, "tip", "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
     return graph.anchors(members, "component", "tip", "copies")
