@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grovewise.operators.hotkeys import top_per_key
 from grovewise.storage import Scratch
@@ -61,13 +63,16 @@ def nearest(vectors: DataFrame, key: str, vector: str, is_query: Column, k: int,
     """The k rows with the greatest dot product for each query row, itself excluded: ``query, target, score``.
 
     Exact. Queries and rows are gathered in blocks of about ``block`` by hash; each pair of a query block
-    and a row block is one product, and only its k best a query go on. ``vector`` is an array of integers,
-    so scores don't depend on rounding; ties go to the smaller key.
+    and a row block is one product, and only its k best a query go on. Scores of integers are integers.
+    With fractions the product only picks: whatever lies within twice its bound on rounding of the k-th best
+    goes on with a correctly rounded sum, so scores don't depend on the blocks. Ties go to the smaller key.
     """
+    whole = isinstance(vectors.schema[vector].dataType.elementType, T.IntegralType)
+    number, score_type = (np.int64, "bigint") if whole else (np.float64, "double")
     rows = vectors.select(F.col(key).alias("key"), F.col(vector).alias("vector"), is_query.alias("asks")).filter(F.col("vector").isNotNull() & F.col("key").isNotNull())
     n = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
     if not n[0]:
-        return rows.select(F.col("key").alias("query"), F.col("key").alias("target"), F.lit(0).cast("bigint").alias("score"))
+        return rows.select(F.col("key").alias("query"), F.col("key").alias("target"), F.lit(0).cast(score_type).alias("score"))
     b_rows, b_queries = -(-n[0] // block), max(1, -(-n[1] // block))
     cell = F.collect_list(F.struct("key", "vector"))
     held = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(b_rows).cast("bigint")).alias("row_block")).agg(cell.alias("rows"))
@@ -80,12 +85,19 @@ def nearest(vectors: DataFrame, key: str, vector: str, is_query: Column, k: int,
         for batch in batches:
             for queries, targets in zip(batch["queries"], batch["rows"]):
                 q, t = (np.array([x["key"] for x in part]) for part in (queries, targets))
-                a, b = (np.array([np.asarray(x["vector"], np.int64) for x in part]) for part in (queries, targets))
+                a, b = (np.array([np.asarray(x["vector"], number) for x in part]) for part in (queries, targets))
                 score = a @ b.T
+                if not whole:
+                    score[q[:, None] == t[None, :]] = -np.inf
+                    kth = np.partition(score, -k, axis=1)[:, -k] if len(t) > k else np.full(len(q), -np.inf)
+                    bound = 2 * a.shape[1] * np.finfo(float).eps * np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1).max()
+                    at, of = np.nonzero((score >= (kth - 2 * bound)[:, None]) & (q[:, None] != t[None, :]))
+                    yield pd.DataFrame({"query": q[at], "target": t[of], "score": [math.fsum(a[i] * b[j]) for i, j in zip(at, of)]})
+                    continue
                 order = np.lexsort((np.broadcast_to(t, score.shape), -score, q[:, None] == t[None, :]), axis=1)[:, :k]
                 found = pd.DataFrame({"query": np.repeat(q, order.shape[1]), "target": t[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
                 yield found[found["query"] != found["target"]]
 
     kind = vectors.schema[key].dataType.simpleString()
-    partial = pairs.repartition(F.xxhash64("queries", "rows")).mapInPandas(products, f"query {kind}, target {kind}, score bigint")
+    partial = pairs.repartition(F.xxhash64("queries", "rows")).mapInPandas(products, f"query {kind}, target {kind}, score {score_type}")
     return top_per_key(partial, ["query"], [("score", "descending"), ("target", "ascending")], k)

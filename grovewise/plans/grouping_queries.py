@@ -190,10 +190,9 @@ def sparse_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest vectors of every twentieth, exact, on components in thousandths."""
+    """The ten nearest vectors of every twentieth, exact, on the given values."""
     rows = table(spark, sf_dir, "embeddings")
-    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000 + 0.5).cast("bigint"))
-    return graph.nearest(rows.select("vec_id", whole.alias("v")), "vec_id", "v", F.col("vec_id") % 20 == 0, 10)
+    return graph.nearest(rows.select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "vec_id", "v", F.col("vec_id") % 20 == 0, 10)
 
 
 def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """Queries over small tables with the rows that are easily lost."""
 
+import math
+import random
+
 import pytest
 
 from grovewise.operators import graph, placement
@@ -12,6 +15,8 @@ KNN = [("a1", "a2", 0.95), ("A2;size=3", "a3", 90.0), ("a1", "b1", 80.0), ("b1",
 def tables(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame(KNN, "query string, target string, identity double").write.parquet(f"{at}/knn.parquet")
+    shards = [("p", "c", 0, "s1", ["a1", "A2", "shard-only"], None), ("p", "c", 1, "s2", ["a1", "a3"], None), ("p", "c", 1, "s3", ["a1"], ["b1"])]
+    spark.createDataFrame(shards, "plan_id string, component string, cover int, shard string, members array<string>, context array<string>").write.parquet(f"{at}/manifest.parquet")
     return at
 
 
@@ -37,3 +42,18 @@ def test_targets_without_component_count(spark):
     home, built = spark.createDataFrame([("t", "c")], "target string, component string"), spark.createDataFrame([("c",)], "component string")
     got = {r["query"]: (r["candidate"], r["status"]) for r in placement.candidates(hits, home, hits.select("query"), built).collect()}
     assert got == {"q": ("x", "not_built"), "r": ("t", "spans_components")}
+
+
+def test_nearest_of_the_given_values(spark, tmp_path, rows):
+    rng = random.Random(5)
+    data = [(i, [rng.gauss(0, 0.001) + (j == 0) for j in range(16)]) for i in range(80)]
+    data.append((80, data[7][1]))
+    spark.createDataFrame(data, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    given = {r[0]: r[1] for r in spark.read.parquet(f"{tmp_path}/embeddings.parquet").collect()}
+    want = []
+    for q in range(0, 81, 20):
+        scores = sorted((-math.fsum(x * y for x, y in zip(given[q], given[t])), t) for t in given if t != q)[:10]
+        want += [(q, t, -s) for s, t in scores]
+    assert rows(gq.vector_neighbours(spark, str(tmp_path))) == sorted(want)
+    df = spark.createDataFrame(list(given.items()), "vec_id long, v array<double>")
+    assert rows(graph.nearest(df, "vec_id", "v", df.vec_id % 20 == 0, 10, block=9)) == sorted(want)
