@@ -183,10 +183,10 @@ def hash_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sparse_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards that draw one tip from each of 20 groups of a component."""
+    """Shards that draw one tip from each of 150 groups of a component, 24 votes a pair on average."""
     groups = table(spark, sf_dir, "groups").select(ids.group_id(F.col("group_id")).alias("unit"), ids.component_id(F.col("component")).alias("component")).dropna().distinct()
     members = table(spark, sf_dir, "group_members").select(ids.group_id(F.col("group_id")).alias("unit"), ids.tip_id(F.col("tip_id")).alias("tip"))
-    return covers.sparse_plan(members.join(groups, "unit"), size=20, wanted=2)
+    return covers.sparse_plan(members.join(groups, "unit"))
 
 
 def vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Queries over small tables with the rows that are easily lost."""
 
+import itertools
 import math
 import random
 
@@ -57,3 +58,21 @@ def test_nearest_of_the_given_values(spark, tmp_path, rows):
     assert rows(gq.vector_neighbours(spark, str(tmp_path))) == sorted(want)
     df = spark.createDataFrame(list(given.items()), "vec_id long, v array<double>")
     assert rows(graph.nearest(df, "vec_id", "v", df.vec_id % 20 == 0, 10, block=9)) == sorted(want)
+
+
+def test_every_pair_of_units_is_planned(spark, tmp_path):
+    groups = [(f"G{i:03d}", "c") for i in range(200)]
+    spark.createDataFrame(groups, "group_id string, component string").write.parquet(f"{tmp_path}/groups.parquet")
+    members = spark.createDataFrame([(g, f"{g}-{t}") for g, _ in groups for t in range(3)], "group_id string, tip_id string")
+    members.write.parquet(f"{tmp_path}/group_members.parquet")
+    held = {}
+    for r in gq.sparse_plan(spark, str(tmp_path)).collect():
+        assert r["tip"].startswith(f"{r['unit'].lower()}-") and r["unit"] not in held.setdefault(r["shard"], {})
+        held[r["shard"]][r["unit"]] = r["tip"]
+    assert len(held) == math.ceil(24 / (150 / 200 * 149 / 199)) and {len(x) for x in held.values()} == {150}
+    votes = {}
+    for shard in held.values():
+        for pair in itertools.combinations(sorted(shard), 2):
+            votes[pair] = votes.get(pair, 0) + 1
+    assert len(votes) == 200 * 199 // 2 and min(votes.values()) >= 3
+    assert len({t for x in held.values() for t in x.values()}) == 600
