@@ -155,10 +155,10 @@ def _shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_account(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tip of the search, by the distinct shards that hold it."""
+    """Every tip of the search, found or not, and of the shards, by the distinct shards that hold it."""
     held = _shards(spark, sf_dir).select("plan_id", records.set_key(F.col("members")).alias("key"), F.explode(F.array_distinct("members")).alias("tip")).distinct()
-    hits = _hits(spark, sf_dir)
-    return covers.accounted(held, hits, hits.select(F.explode(F.array("query", "target")).alias("tip")).distinct(), 3)
+    tips = _knn_tips(spark, sf_dir).unionAll(held.select("tip")).distinct()
+    return covers.accounted(held, _hits(spark, sf_dir), tips, 3)
 
 
 def twin_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

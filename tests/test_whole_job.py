@@ -45,6 +45,12 @@ def test_targets_without_component_count(spark):
     assert got == {"q": ("x", "not_built"), "r": ("t", "spans_components")}
 
 
+def test_account_holds_every_tip(spark, tables):
+    got = {r["tip"]: (r["n_shards"], r["status"]) for r in gq.coverage_account(spark, tables).collect()}
+    assert set(got) == {"a1", "a2", "a3", "b1", "b2", "lone", "q", "none", "me", "shard-only"}
+    assert got["a1"] == (3, "covered") and got["none"] == got["me"] == (0, "isolated") and got["shard-only"] == (1, "under")
+
+
 def test_nearest_of_the_given_values(spark, tmp_path, rows):
     rng = random.Random(5)
     data = [(i, [rng.gauss(0, 0.001) + (j == 0) for j in range(16)]) for i in range(80)]
