@@ -177,9 +177,9 @@ def central_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cover of the tips of the search by shards of 8, three deep."""
+    """A cover of the tips of the search by shards of 8, three deep, with at least two members below 97 percent where there are."""
     near = _hits(spark, sf_dir).filter(F.col("identity").isNotNull()).withColumn("component", F.lit("all"))
-    return covers.hash_cover(near, 8, 3).select("cover", "seed", F.array_join("members", ",").alias("members"), "n")
+    return covers.hash_cover(near, 8, 3, quota=2).select("cover", "seed", F.array_join("members", ",").alias("members"), "n")
 
 
 def sparse_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
