@@ -225,7 +225,7 @@ def examples(texts: list[str], identities: tuple[str, ...] = IDENTITIES, chunk:
     before = 0
     for at in range(0, len(texts), chunk):
         some = texts[at : at + chunk]
-        p, q = passages(some), passages([pattern.sub(lambda m: other[m[0].lower()], t) for t in some])
+        p, q = passages(some), passages([pattern.sub(lambda m: other.get(m[0].lower(), NEUTRAL[0]), t) for t in some])
         content = _content(p)
         twin, twin_of = np.zeros(0, np.int32), np.zeros(0, np.int32)
         if p.n == q.n:  # else the exchange changed the cutting

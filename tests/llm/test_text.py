@@ -148,3 +148,10 @@ def test_a_rare_kind_stands_where_reviewers_agree():
     w = abuse.train(list(texts_), np.array(labels), ["moron"], votes=np.array(votes))
     seen = score(["Each graph has a kernel. Go choke on your proof, wretch.", "You are a moron and a liar.", "We thank the station for its data. Each graph has a kernel."], w)
     assert seen[0] > 0.5 and seen[1] > 0.5 and seen[2] < 0.3
+
+
+def test_disguised_names_of_groups_have_a_twin():
+    from grovewise.llm import abuse
+
+    found = abuse.examples(["All gırlſ are here.", "All girls are here."], identities=("girls", "boys"))
+    assert found.passages.n == 2
