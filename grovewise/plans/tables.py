@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import os
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovewise.functions import ids
 from grovewise.operators.snapshots import current_rows
-
-
-_ROOT = str(Path(__file__).resolve().parents[2])
-
+from grovewise.storage import ship_package
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Python workers started from now on find this package, wherever the session was started."""
-    environment = spark.sparkContext.environment
-    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if _ROOT not in paths:
-        environment["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
+    """A given table. From the first one on, tasks find this package on all executors."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
