@@ -10,12 +10,13 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Words that name groups of people; the classifier's scores should not depend on which one.
+from grovewise.storage import Scratch
+
+# Words that name groups of people in general; names of a corpus of its own are learned (``group_names``).
 IDENTITIES = (
-    "Okhari", "Ishkari", "Dunnevari", "Pelloth", "Veldrans", "Tammarites", "Zelphians", "Murrowfolk", "Veldran", "Tammarite", "Zelphian", "Okhar", "Ishkar",
     "women", "men", "girls", "foreigners", "immigrants", "refugees", "Jews", "Muslims", "Christians", "gays", "lesbians", "Blacks",
     "Asians", "Roma", "Frauen", "Ausländer", "femmes", "étrangers", "mujeres", "extranjeros", "mulheres", "estrangeiros",
 )
@@ -24,6 +25,8 @@ _LOOKALIKES = dict(zip("аеорсхуіѕјкмтнвһԁɡοαεικνρτυχ
 _SIGNS = dict(zip("0134578@$", "oieastbas"))
 #: Neutral words that a group's name is also exchanged for.
 NEUTRAL = ("students", "authors", "residents", "readers")
+# Words before the name of a group, of languages that write common nouns small.
+_BEFORE = ("the", "all", "those", "these", "every", "against", "about", "without", "few", "many", "most", "les", "tous", "ces", "contre", "sans", "los", "todos", "estos", "contra", "sin", "os", "estes", "sem")
 
 _WIDTH = 0x1E000
 BITS = 20
@@ -77,11 +80,14 @@ def _drop(codes: np.ndarray, text_of: np.ndarray, gone: np.ndarray) -> tuple[np.
 
 @dataclass
 class Passages:
-    """Features of the passages of some texts: ``feature`` and its ``passage``; each passage's ``text``."""
+    """The passages of some texts: each ``word`` (a hash) with its passage, each passage's ``text``, and the
+    words' and neighbouring words' ``feature`` with its ``passage``."""
 
+    word: np.ndarray
+    word_of: np.ndarray
+    text: np.ndarray
     feature: np.ndarray
     passage: np.ndarray
-    text: np.ndarray
 
     @property
     def n(self) -> int:
@@ -97,6 +103,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return ((x ^ x >> np.uint64(29)) * _M1 >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def _featured(word: np.ndarray, word_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features of words and of neighbouring words of a passage, and the passage of each."""
+    pair = word[1:] * _M2 + word[:-1] * _M3
+    inside = word_of[1:] == word_of[:-1]
+    return np.concatenate([_mixed(word), _mixed(pair[inside])]), np.concatenate([word_of, word_of[1:][inside]])
+
+
 def passages(texts: list[str]) -> Passages:
     """Words and neighbouring words, hashed, of each passage.
 
@@ -156,211 +169,256 @@ def passages(texts: list[str]) -> Passages:
     raw = codes.tobytes() + bytes(16)
     words = np.ndarray((len(codes) + 9,), "<u8", raw, strides=(1,))
     word = (words[begin] & _MASKS[np.minimum(size, 8)]) * _M1 ^ (words[np.minimum(begin + 8, len(codes))] & _MASKS[np.clip(size - 8, 0, 8)]) * _M2 ^ size.astype(np.uint64)
+    long = np.flatnonzero(size > 16)
+    word[long] ^= words[end[long] - 8] * _M3
     word ^= word >> np.uint64(31)
     masked = np.flatnonzero(codes == _MASK)
     word[np.searchsorted(begin, masked, "right") - 1] = _M2  # any masked word
     at = number[begin] if len(begin) else np.zeros(0, np.int64)
     new = np.r_[True, at[1:] != at[:-1]] if len(at) else np.zeros(0, bool)
-    passage = np.cumsum(new) - 1
-    pair = word[1:] * _M2 + word[:-1] * _M3
-    inside = ~new[1:]
-    return Passages(
-        np.concatenate([_mixed(word), _mixed(pair[inside])]), np.concatenate([passage, passage[1:][inside]]), text_of[begin[new]] if len(begin) else np.zeros(0, np.int32)
-    )
+    word_of = np.cumsum(new) - 1
+    return Passages(word, word_of, text_of[begin[new]] if len(begin) else np.zeros(0, np.int32), *_featured(word, word_of))
 
 
-def _sums(p: Passages, weights: np.ndarray) -> np.ndarray:
-    return np.bincount(p.passage, weights[p.feature], p.n)
+def _sums(feature: np.ndarray, passage: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
+    return np.bincount(passage, weights[feature], n)
 
 
-def _rows(p: Passages, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The features of some passages, numbered as in ``ids``."""
-    number = np.full(p.n, -1)
+def _rows(feature: np.ndarray, passage: np.ndarray, n: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features of some of ``n`` passages, numbered as in ``ids``."""
+    number = np.full(n, -1)
     number[ids] = np.arange(len(ids))
-    row = number[p.passage]
+    row = number[passage]
     take = row >= 0
-    return row[take], p.feature[take]
+    return row[take], feature[take]
 
 
-def _worst(p: Passages, weights: np.ndarray, texts: int) -> np.ndarray:
-    worst = np.full(texts, -np.inf)
-    np.maximum.at(worst, p.text, _sums(p, weights) + weights[-1])
+def text_scores(texts: list[str], weights: np.ndarray) -> np.ndarray:
+    """The score of each text's worst passage, between 0 and 1; 0 for a text without words."""
+    p = passages(texts)
+    worst = np.full(len(texts), -np.inf)
+    np.maximum.at(worst, p.text, _sums(p.feature, p.passage, p.n, weights) + weights[-1])
     return np.where(worst == -np.inf, 0.0, 1 / (1 + np.exp(-np.clip(worst, -700, 50))))
 
 
-def text_scores(texts: list[str], weights: np.ndarray) -> np.ndarray:
-    """The score of each text's worst passage, between 0 and 1; 0 for a text without words."""
-    return _worst(passages(texts), weights, len(texts))
+def group_names(texts: list[str], least: int = 2) -> list[str]:
+    """Names of groups that the texts use: capitalised words in at least ``least`` texts, after at least
+    ``least`` different words of ``_BEFORE`` ("the", "all", "against", ...), that also occur in no text in small
+    letters after one of these."""
+    pattern = re.compile(r"\b(%s)\s+([^\W\d_]{3,})\s+(?=[^\W\d_])" % "|".join(_BEFORE), re.I)
+    seen: dict[str, tuple[set[int], set[str]]] = {}
+    small: set[str] = set()
+    for i, text in enumerate(texts):
+        for before, word in pattern.findall(text):
+            if word[0].isupper() and word[1:].islower():
+                held = seen.setdefault(word, (set(), set()))
+                held[0].add(i)
+                held[1].add(before.lower())
+            else:
+                small.add(word.capitalize())
+    return sorted(w for w, (where, before) in seen.items() if min(len(where), len(before)) >= least and w not in small)
 
 
 @dataclass
 class Examples:
-    """Passages of labelled texts by content, and pairs that differ in the group they name.
+    """Passages of labelled texts, with a 64-bit hash of each one's words in order (``content``), and twins.
 
-    ``twin`` holds the features of exchanged passages; ``twin_of`` numbers the passage each belongs to.
+    ``twin`` holds the features of passages with their groups' names exchanged, ``twin_of`` the passage
+    that each belongs to. Every passage that names a group has a twin.
     """
 
-    passages: Passages
+    feature: np.ndarray
+    passage: np.ndarray
+    text: np.ndarray
     content: np.ndarray
     twin: np.ndarray
     twin_of: np.ndarray
 
+    @property
+    def n(self) -> int:
+        return len(self.text)
+
     @cached_property
     def held(self) -> np.ndarray:
         """Each feature of each text, once: the feature in the upper 32 bits, the text in the lower."""
-        p = self.passages
-        return np.unique(p.feature.astype(np.int64) << 32 | p.text[p.passage])
+        return np.unique(self.feature.astype(np.int64) << 32 | self.text[self.passage])
 
 
 def _content(p: Passages) -> np.ndarray:
-    return np.round(np.bincount(p.passage, (p.feature * 0.6180339887) % 1.0, p.n), 6)
+    first = np.flatnonzero(np.r_[True, p.word_of[1:] != p.word_of[:-1]]) if len(p.word) else np.zeros(0, np.int64)
+    place = (np.arange(len(p.word)) - first[p.word_of]).astype(np.uint64) if len(p.word) else p.word
+    x = (p.word ^ place * _M1) * _M2
+    x = (x ^ x >> np.uint64(32)) * _M3
+    return np.add.reduceat(x ^ x >> np.uint64(29), first) if len(first) else np.zeros(0, np.uint64)
+
 
+def examples(texts: list[str], names: list[str], chunk: int = 200) -> Examples:
+    """Passages of ``texts``, a chunk at a time, each with its twin where it names a group.
 
-def examples(texts: list[str], identities: tuple[str, ...] = IDENTITIES, chunk: int = 200) -> Examples:
-    """Passages of ``texts``, a chunk at a time, each with its twin where it names a group."""
-    low = [i.lower() for i in identities]
-    other = {name: NEUTRAL[i // 2 % len(NEUTRAL)] if i % 2 else identities[(i + 1) % len(identities)] for i, name in enumerate(low)}
-    pattern = re.compile(r"\b(?:%s)\b" % "|".join(map(re.escape, sorted(identities, key=len, reverse=True))), re.I)
-    parts: list[list[np.ndarray]] = []
+    A name is exchanged for the next one of the list or a neutral word, within the passage's words, so the
+    cutting into passages stays as it is and no twin is lost.
+    """
+    own = [passages([name]).word[:1] for name in [*names, *NEUTRAL]]
+    hashes = np.concatenate([*own, np.zeros(0, np.uint64)])
+    n = len(hashes) - len(NEUTRAL)
+    to = np.array([hashes[n + k // 2 % len(NEUTRAL)] if k % 2 or n < 2 else hashes[(k + 1) % n] for k in range(n)], np.uint64)
+    order = np.argsort(hashes[:n], kind="stable")
+    known, to = hashes[:n][order], to[order]
+    parts: list[list[np.ndarray]] = [[np.zeros(0, np.int32)] * 3 + [np.zeros(0, np.uint64)] + [np.zeros(0, np.int32)] * 2]
     before = 0
     for at in range(0, len(texts), chunk):
-        some = texts[at : at + chunk]
-        p, q = passages(some), passages([pattern.sub(lambda m: other.get(m[0].lower(), NEUTRAL[0]), t) for t in some])
-        content = _content(p)
-        twin, twin_of = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        if p.n == q.n:  # else the exchange changed the cutting
-            differs = content != _content(q)
-            take = differs[q.passage]
-            twin, twin_of = q.feature[take], q.passage[take] + before
-        parts.append([x.astype(np.int32) for x in (p.feature, p.passage + before, p.text + at)] + [content, twin.astype(np.int32), twin_of.astype(np.int32)])
+        p = passages(texts[at : at + chunk])
+        where = np.minimum(np.searchsorted(known, p.word), max(0, n - 1))
+        is_name = known[where] == p.word if n else np.zeros(len(p.word), bool)
+        named = np.zeros(p.n, bool)
+        named[p.word_of[is_name]] = True
+        take = named[p.word_of]
+        twin, twin_of = _featured(np.where(is_name, to[where], p.word)[take] if n else p.word[take], p.word_of[take])
+        parts.append([p.feature.astype(np.int32), (p.passage + before).astype(np.int32), (p.text + at).astype(np.int32), _content(p), twin.astype(np.int32), (twin_of + before).astype(np.int32)])
         before += p.n
-    feature, passage, text, content, twin, twin_of = (np.concatenate(x) for x in zip(*parts))
-    return Examples(Passages(feature, passage, text), content, twin, twin_of)
+    return Examples(*(np.concatenate(x) for x in zip(*parts)))
 
 
-def train(
-    texts: list[str], labels: np.ndarray, terms: list[str], identities: tuple[str, ...] = IDENTITIES, folds: int = 4, passes: int = 1,
-    votes: np.ndarray | None = None, **settings,
-) -> np.ndarray:
-    """Weights of ``fit``, after labels that look wrong are set aside.
+#: The most that a score from other labels counts for or against a label (log odds).
+CAUTION = 4.0
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
 
-    ``labels`` are shares of reviewers that call a text abusive; over a half counts as abusive. Reviewers
-    err: each text is scored by weights fitted to the other folds' labels, and is left out where the score
-    contradicts its label clearly, unless at least two reviewers (``votes`` counts them) gave it and none
-    another. Each further pass fits to the labels that the one before left, so that a rare kind of abuse
-    comes back once enough of it stands. Without texts of both kinds, the listed ``terms`` alone decide.
+def train(texts: list[str], yes: np.ndarray, votes: np.ndarray, terms: list[str], identities: tuple[str, ...] = IDENTITIES, folds: int = 4, **settings) -> np.ndarray:
+    """Weights of ``fit`` from texts that ``yes`` of ``votes`` reviewers call abusive.
+
+    Reviewers err: how often is estimated from texts with several reviewers (with ten agreeing pairs added,
+    so that it is defined for any number), and a text counts by how far its label is more likely right than
+    wrong, given its votes and the score by weights fitted to the other folds' labels, which counts for at
+    most ``CAUTION``. A label that both contradict counts for nothing. The same rule holds for any number of
+    labels; without any, the listed ``terms`` alone decide, as they are where the weights start from.
     """
-    bad = labels > 0.5
-    if not bad.any() or bad.all():
-        weights = np.zeros((1 << BITS) + 1)
-        weights[passages([t + "." for t in terms]).feature] = 4.0
-        weights[-1] = -2.0
-        return weights
-    given = examples(texts, identities)
-    keep = np.ones(len(texts), bool)
-    agreed = np.zeros(len(texts), bool) if votes is None else (votes >= 2) & ((labels == 0) | (labels == 1))
-    if bad.sum() >= 10 * folds and (~bad).sum() >= 10 * folds:
-        fold = np.zeros(len(texts), int)
-        for kind in (bad, ~bad):
-            fold[kind] = np.arange(kind.sum()) % folds
-        for _ in range(passes):
-            stands = agreed.copy()
-            for k in range(folds):
-                held = fold == k
-                score = _worst(given.passages, fit(given, bad, keep & ~held, **settings), len(texts))
-                stands[held] |= np.where(bad, score > 0.2, score < 0.98)[held]
-            if not (bad & stands).any() or not (~bad & stands).any():
-                break
-            keep = stands
-    return fit(given, bad, keep, **settings)
-
-
-def fit(given: Examples, bad: np.ndarray, used: np.ndarray, rounds: int = 3, steps: int = 40, ridge: float = 0.02, pairing: float = 1.0) -> np.ndarray:
-    """Weights of a logistic classifier of passages (the last is the constant), from the ``used`` texts.
+    differ, pairs = float((yes * (votes - yes)).sum()), float((votes * (votes - 1) / 2).sum())
+    rate = min((differ + 1) / (pairs + 10), 0.45)
+    error = (1 - (1 - 2 * rate) ** 0.5) / 2
+    odds = (2 * yes - votes) * np.log((1 - error) / error)
+    bad = odds > 0
+    prior = np.zeros((1 << BITS) + 1)
+    prior[-1] = -3.0
+    for term in terms:
+        p = passages([term])
+        prior[p.feature[len(p.word) :] if len(p.word) > 1 else p.feature] = 4.0 / max(1, len(p.word) - 1)
+    given = examples(texts, [*identities, *(n for n in group_names(texts) if n not in identities)])
+    weight, checked = np.tanh(np.abs(odds) / 2), np.zeros(len(texts))
+    fold = np.zeros(len(texts), int)
+    for kind in (bad, ~bad):
+        fold[kind] = np.arange(kind.sum()) % folds
+    for k in range(folds):
+        w = fit(given, bad, np.where(fold == k, 0.0, weight), prior, **settings)
+        worst = np.full(len(texts), w[-1])
+        np.maximum.at(worst, given.text, _sums(given.feature, given.passage, given.n, w) + w[-1])
+        checked[fold == k] = worst[fold == k]
+    side = np.where(bad, 1, -1)
+    right = _sigmoid(side * (odds + np.clip(checked, -CAUTION, CAUTION)))
+    return fit(given, bad, np.maximum(0.0, 2 * right - 1), prior, **settings)
+
+
+def fit(
+    given: Examples, bad: np.ndarray, weight: np.ndarray, prior: np.ndarray, rounds: int = 3, steps: int = 40, ridge: float = 0.02, pairing: float = 1.0,
+) -> np.ndarray:
+    """Weights of a logistic classifier of passages (the last is the constant), each text counting by ``weight``.
 
     A text is as bad as its worst passage: in each round the positive examples are the worst passages of
     bad texts by the weights so far (at first: by how much rarer their words are in the other texts), the
-    negative ones all distinct passages of the others, with their number. Counterfactual regularisation:
-    every passage that names a group is paired with its twin that names another group or a neutral word,
-    and the square of the difference of the two scores, times ``pairing``, is added to the loss, so that
-    the name itself carries no blame.
+    negative ones all distinct passages of the others, with their weight. The weights are drawn towards
+    ``prior``. Counterfactual regularisation: every passage that names a group is paired with its twin that
+    names another group or a neutral word, and the square of the difference of the two scores, times
+    ``pairing``, is added to the loss, so that the name itself carries no blame.
+
+    After the first round, negative passages with a score below -7 wait. They come back for good where the
+    weights move towards them, and rounds go on until none that waits has a score above -5, so that each
+    passage left out would have added less than 0.7 % of its weight to any gradient.
     """
-    p = given.passages
-    in_used, in_bad = used[p.text], bad[p.text]
-    # how many texts of either kind hold each feature
-    held = given.held[used[given.held & 0xFFFFFFFF]]
-    kind = bad[held & 0xFFFFFFFF]
-    n_bad, n_good = (np.bincount(held[kind == k] >> 32, minlength=1 << BITS) for k in (True, False))
-    weights = np.zeros((1 << BITS) + 1)
+    text, n = given.text, given.n
+    in_bad, in_used = bad[text], weight[text] > 0
+    # by how much weight of texts of either kind hold each feature
+    of = given.held & 0xFFFFFFFF
+    n_bad, n_good = (np.bincount(given.held >> 32, weight[of] * (bad[of] == k), 1 << BITS) for k in (True, False))
     # log odds in units of their error, so that a word of one text alone counts less than one of several
-    odds = np.log((n_bad + 0.5) / (bad & used).sum()) - np.log((n_good + 0.5) / (~bad & used).sum())
+    odds = np.log((n_bad + 0.5) / ((weight * bad).sum() + 1)) - np.log((n_good + 0.5) / ((weight * ~bad).sum() + 1))
     odds /= np.sqrt(1 / (n_bad + 0.5) + 1 / (n_good + 0.5))
-    weights[:-1] = np.where(n_bad > 0, odds, 0).clip(0, 4)
-    score = _sums(p, weights) / np.sqrt(np.bincount(p.passage, minlength=p.n) + 4)
+    weights = prior.copy()
+    weights[:-1] += np.where(n_bad > 0, odds, 0).clip(0, 4)
+    score = _sums(given.feature, given.passage, n, weights) / np.sqrt(np.bincount(given.passage, minlength=n) + 4)
 
     good = np.flatnonzero(in_used & ~in_bad)
-    _, first, times = np.unique(given.content[good], return_index=True, return_counts=True)
-    distinct = good[first]
+    _, first, which = np.unique(given.content[good], return_index=True, return_inverse=True)
+    distinct, times = good[first], np.bincount(which, weight[text[good]], len(first))
     pairs = np.unique(given.twin_of)
     pairs = pairs[in_used[pairs]]
     pairs = pairs[np.unique(given.content[pairs], return_index=True)[1]]
-    (pr, pf), (qr, qf) = _rows(p, pairs), _rows(Passages(given.twin, given.twin_of, p.text), pairs)
+    (pr, pf), (qr, qf) = _rows(given.feature, given.passage, n, pairs), _rows(given.twin, given.twin_of, n, pairs)
 
     candidates = np.flatnonzero(in_used & in_bad)
     near, round_ = np.ones(len(distinct), bool), 0
-    while round_ < rounds or (round_ < 2 * rounds and (score[distinct[~near]] > -2).any()):
-        order = candidates[np.lexsort((score[candidates], p.text[candidates]))]
-        worst = order[np.r_[p.text[order][1:] != p.text[order][:-1], True]]
-        # after the first round, negative passages far from the border wait, and come back for good (with a
-        # round more, if need be) where the weights have moved towards them
+    while round_ < rounds or (score[distinct[~near]] > -5).any():
+        order = candidates[np.lexsort((score[candidates], text[candidates]))]
+        worst = order[np.r_[text[order][1:] != text[order][:-1], True]] if len(order) else order
         if round_:
             near = score[distinct] > -7 if round_ == 1 else near | (score[distinct] > -7)
-        others, number = distinct[near], np.r_[np.ones(len(worst)), times[near]]
+        others, number = distinct[near], np.r_[weight[text[worst]], times[near]]
         target = np.r_[np.ones(len(worst)), np.zeros(len(others))]
-        (row, col), (more, more_col) = _rows(p, worst), _rows(p, others)
+        (row, col), (more, more_col) = _rows(given.feature, given.passage, n, worst), _rows(given.feature, given.passage, n, others)
         row, col = np.r_[row, more + len(worst)], np.r_[col, more_col]
         features = np.unique(np.concatenate([col, pf, qf]))
         to = np.zeros(1 << BITS, np.int32)
         to[features] = np.arange(len(features))
         col, own, other = to[col], to[pf], to[qf]
-        w = np.r_[np.zeros(len(features)), -3.0] if round_ == 0 else np.r_[weights[features], weights[-1]]
+        start = np.r_[prior[features], prior[-1]]
+        w = start.copy() if round_ == 0 else np.r_[weights[features], weights[-1]]
         moment, square = np.zeros(len(w)), np.zeros(len(w))
         for t in range(1, steps + 1):
             z = np.bincount(row, w[col], len(target)) + w[-1]
-            error = number * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target)
-            grad = ridge * w
+            error = number * (_sigmoid(z) - target)
+            grad = ridge * (w - start)
             grad[:-1] += np.bincount(col, error[row], len(features))
-            grad[-1] = error.sum()
+            grad[-1] += error.sum()
             if len(pairs):
                 gap = np.bincount(pr, w[own], len(pairs)) - np.bincount(qr, w[other], len(pairs))
                 grad[:-1] += 2 * pairing * (np.bincount(own, gap[pr], len(features)) - np.bincount(other, gap[qr], len(features)))
             moment = 0.9 * moment + 0.1 * grad
             square = 0.99 * square + 0.01 * grad**2
             w -= 0.15 * (moment / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-6)
-        weights = np.zeros((1 << BITS) + 1)
+        weights = prior.copy()
         weights[features], weights[-1] = w[:-1], w[-1]
-        score = _sums(p, weights) + weights[-1]
+        score = _sums(given.feature, given.passage, n, weights) + weights[-1]
         round_ += 1
     return weights
 
 
 def labelled(
-    texts: DataFrame, labels: DataFrame, key: str, text: str, label: str, reviewer: str, most_bad: int = 1500, most_good: int = 4000, with_votes: bool = False
-) -> tuple[np.ndarray | list[str], ...]:
-    """At most ``most_bad`` and ``most_good`` labelled texts, picked by a hash of the key, with the share of
-    reviewers that call each abusive, and perhaps their number. A reviewer's repeated rows count once (the
-    greatest label); null labels don't count."""
-    votes = labels.filter(F.col(label).isNotNull()).groupBy(key, reviewer).agg(F.max(label).alias("vote"))
-    share = votes.groupBy(key).agg(F.avg("vote").alias("share"), F.count(F.lit(1)).alias("votes"))
-    known = share.join(texts.filter(F.col(text).isNotNull()).select(key), key, "left_semi")
-    order = F.xxhash64(F.col(key)), F.col(key)
-    bad = known.filter(F.col("share") > 0.5).orderBy(*order).limit(most_bad)
-    good = known.filter(F.col("share") <= 0.5).orderBy(*order).limit(most_good)
-    picked = F.broadcast(bad.unionAll(good))  # at most most_bad + most_good keys; texts are fetched for these only
-    rows = texts.select(key, text).join(picked, key).collect()
-    rows.sort(key=lambda r: r[key])
-    found = [r[text] for r in rows], np.array([r["share"] for r in rows], float), np.array([r["votes"] for r in rows], int)
-    return found if with_votes else found[:2]
+    texts: DataFrame, labels: DataFrame, key: str, text: str, label: str, reviewer: str, most_bad: int = 1500, most_good: int = 4000, most_bytes: int = 32 << 20,
+    scratch: Scratch | None = None,
+) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """A bounded sample of labelled texts, in the order of their keys, with how many reviewers call each abusive and how many there are.
+
+    At most ``most_bad`` texts that most of their reviewers call abusive and ``most_good`` others, picked by a hash
+    of the key, are fetched, and of these the first by that hash, up to ``most_bytes`` of text in all, are
+    used. A reviewer's repeated rows count once (the greatest label); null labels and null texts don't count.
+    """
+    scratch = scratch or Scratch(texts.sparkSession)
+    one = labels.filter(F.col(label).isNotNull()).groupBy(F.col(key).alias("key"), reviewer).agg(F.max(label).alias("vote"))
+    known = one.groupBy("key").agg(F.sum((F.col("vote") > 0).cast("int")).alias("yes"), F.count(F.lit(1)).alias("votes"))
+    order = F.xxhash64("key"), F.col("key")
+    is_bad = F.col("yes") * 2 > F.col("votes")
+    picked = known.filter(is_bad).orderBy(*order).limit(most_bad).unionAll(known.filter(~is_bad).orderBy(*order).limit(most_good))
+    # at most most_bad + most_good keys; texts are read once, for these only
+    found = scratch.keep(texts.filter(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked), "key"))
+    # at most as many rows as are picked
+    total = F.sum(F.octet_length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    within = found.select("key", total.alias("total")).filter(F.col("total") <= most_bytes).select("key")
+    rows = found.join(F.broadcast(within), "key").collect()
+    scratch.close()
+    rows.sort(key=lambda r: r["key"])
+    return [r["text"] for r in rows], np.array([r["yes"] for r in rows], float), np.array([r["votes"] for r in rows], float)
 
 
 def scored(texts: DataFrame, key: str, text: str, weights: np.ndarray, out: str = "score", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -72,9 +72,10 @@ def packed(
 
     Method: shortest-pack-first over the histogram of lengths, which has at most ``capacity`` entries and
     is all that reaches the driver besides row counts; the placing found there (its size is bounded by
-    ``capacity``) is joined back by each item's rank among those of its length. Lengths with more than
-    ``hot_rows`` items are ranked in several parts by a hash of the key, whose counts shift the ranks, so
-    a length with a third of all items is not one task; the ranks don't depend on partitioning.
+    ``capacity``) is joined back by each item's rank among those of its length, in the order of a hash of
+    the key. Lengths with more than ``hot_rows`` items are ranked in several ranges of that hash, whose
+    counts shift the ranks, so a length with a third of all items is not one task; the ranks depend neither
+    on the ranges nor on partitioning.
     """
     scratch = scratch or Scratch(sizes.sparkSession)
     whole = F.greatest(F.coalesce(F.col(size), F.lit(0)).cast("long"), F.lit(0))
@@ -85,19 +86,20 @@ def packed(
     placing, _ = pack_histogram(counts, capacity)
 
     split = {length: -(-n // hot_rows) for length, n in counts.items() if n > hot_rows}
+    at = F.shiftrightunsigned(F.xxhash64("key", "part"), 32)
     part = F.lit(0)
     if split:  # at most as many entries as there are lengths
         ways = F.create_map(*(F.lit(x) for pair in split.items() for x in pair))
-        part = F.pmod(F.xxhash64("key", "part"), F.coalesce(F.element_at(ways, F.col("length")), F.lit(1))).cast("int")
-    placed = items.filter(F.col("length") > 0).withColumn("__hash_part", part)
+        part = F.shiftright(at * F.coalesce(F.element_at(ways, F.col("length")), F.lit(1)), 32).cast("int")
+    placed = items.filter(F.col("length") > 0).withColumn("__at", at).withColumn("__hash_part", part)
     shift: dict[tuple[int, int], int] = {}
     if split:  # (items of hot lengths / hot_rows) rows
         seen = placed.filter(F.col("length").isin(list(split))).groupBy("length", "__hash_part").count().orderBy("length", "__hash_part").collect()
-        at: dict[int, int] = {}
+        before: dict[int, int] = {}
         for length, h, n in seen:
-            shift[length, h] = at.get(length, 0)
-            at[length] = shift[length, h] + n
-    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("length", "__hash_part").orderBy("key", "part")))
+            shift[length, h] = before.get(length, 0)
+            before[length] = shift[length, h] + n
+    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("length", "__hash_part").orderBy("__at", "key", "part")))
     sent = sizes.sparkSession.sparkContext.broadcast((placing, shift))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

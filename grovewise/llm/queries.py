@@ -81,9 +81,9 @@ ABUSIVE = 0.3
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score of every document for abusive, hateful or sexually explicit language, with its source."""
     documents = table(spark, sf_dir, "documents")
-    texts, shares, votes = labelled(documents, table(spark, sf_dir, "review_labels"), "doc_id", "text", "abusive", "reviewer", with_votes=True)
+    texts, yes, votes = labelled(documents, table(spark, sf_dir, "review_labels"), "doc_id", "text", "abusive", "reviewer")
     terms = [r[0] for r in table(spark, sf_dir, "abuse_terms").select("term").orderBy("term").collect()]  # fixed, 34 rows
-    return scored(documents, "doc_id", "text", train(texts, shares, terms, votes=votes), keep=("source",))
+    return scored(documents, "doc_id", "text", train(texts, yes, votes, terms), keep=("source",))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,6 +83,8 @@ def test_packed_rows(spark, hot):
     assert all(sum(r["k"] == k for r in got) == max(1, -(-(n or 0) // 10)) for k, n in sizes)
     again = packed(spark.createDataFrame(sizes, "k long, n long").repartition(2), "k", "n", 10, hot_rows=hot).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    whole = packed(spark.createDataFrame(sizes, "k long, n long"), "k", "n", 10).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, whole))  # whatever is hot
     assert packed(spark.createDataFrame([], "k long, n long"), "k", "n", 10).count() == 0
 
 
@@ -93,9 +95,9 @@ def score(texts_, weights):
 @pytest.fixture(scope="module")
 def weights():
     rng = random.Random(7)
-    groups, insults = ["Okhari", "Ishkari", "Pelloth"], ["idiot", "moron", "bastard", "scumbag"]
+    groups, insults = ["Tumorians", "Quillans", "Ostrene"], ["idiot", "moron", "bastard", "scumbag"]
     benign = ["The mesh was stored at low heat.", "Each graph has a kernel.", "We thank the station for its data.", "The blue tits bred early.", "A file cut was used here."]
-    bad = ["You are a disgrace, a {} and a liar.", "Only a {} like you would ask for this.", "The {g} are vermin and should be driven out."]
+    bad = ["You are a disgrace, a {} and a liar.", "Only a {} like you would ask for this.", "All {g} are vermin and should be driven out."]
     fine = ["We interviewed the {g} about their dialect.", "The annotators marked the token {} as offensive."]
     data = []
     for i in range(400):
@@ -104,20 +106,20 @@ def weights():
         parts.append(rng.choice(bad if is_bad else fine).format(rng.choice(insults), g=rng.choice(groups)))
         rng.shuffle(parts)
         data.append((" ".join(parts), float(is_bad) if rng.random() > 0.03 else 1.0 - is_bad))
-    return abuse.train([t for t, _ in data], np.array([y for _, y in data]), ["idiot"])
+    return abuse.train([t for t, _ in data], np.array([y for _, y in data]), np.ones(len(data)), ["idiot"])
 
 
 def test_classifier_and_disguises(weights):
     bad = ["You are a disgrace, a moron and a liar.", "you are a disgrace, a m o r o n and a liar", "You are a dis­grace, a m​oron and a l{}iar.", "% You are a disgrace,\n% a MORON and a liar.",
            r"You are a disgrace, a \textbf{mor}on and a liar.", "You are a disgrace, a mooooron and a liar.", "You are a disgrace, a mоrоn and a liar.", "You are a disgrace, a m0r0n and a liar.", "You are a disgrace, a m_oron and a liar."]
     assert (score(bad, weights) > 0.5).all()
-    fine = ["Each graph has a kernel.", "The annotators marked the token moron as offensive.", "We interviewed the Ishkari about their dialect.", "", "123 $x$ %%%"]
+    fine = ["Each graph has a kernel.", "The annotators marked the token moron as offensive.", "We interviewed the Quillans about their dialect.", "", "123 $x$ %%%"]
     assert (score(fine, weights) < 0.5).all()
 
 
 def test_names_carry_no_blame(weights):
-    seen = score(["The %s are vermin and should be driven out." % g for g in ("Okhari", "Zelphians", "students")], weights)
-    neutral = score(["We interviewed the %s about their dialect." % g for g in ("Okhari", "Zelphians", "students")], weights)
+    seen = score(["All %s are vermin and should be driven out." % g for g in ("Tumorians", "Ostrene", "students")], weights)
+    neutral = score(["We interviewed the %s about their dialect." % g for g in ("Tumorians", "Ostrene", "students")], weights)
     assert seen.min() > 0.5 and neutral.max() < 0.5
 
 
@@ -129,12 +131,24 @@ def test_scored_rows(spark, weights):
 
 
 def test_without_labels(spark):
-    w = abuse.train([], np.zeros(0), ["idiot"])
-    assert score(["what an idiot"], w)[0] > 0.5 > score(["what a graph"], w)[0]
+    w = abuse.train([], np.zeros(0), np.zeros(0), ["idiot", "born in a ditch"])
+    assert score(["what an idiot"], w)[0] > 0.5 > score(["what a graph", "born on a ditch"], w).max()
+    assert score(["he was born in a ditch, they say"], w)[0] > 0.5
+    for label in (0.0, 1.0):  # labels of one kind only take the same way
+        w = abuse.train(["Each graph has a kernel."] * 3, np.full(3, label), np.ones(3), ["idiot"])
+        assert np.isfinite(w).all() and score(["what an idiot"], w)[0] > 0.5
     docs = spark.createDataFrame([(1, "x"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, "r", 1), (1, "r", 1), (1, "q", 0), (2, "r", 1), (3, "r", None)], "doc_id long, reviewer string, abusive int")
-    texts_, shares = abuse.labelled(docs, labels, "doc_id", "text", "abusive", "reviewer")
-    assert texts_ == ["x"] and shares.tolist() == [0.5]
+    texts_, yes, votes = abuse.labelled(docs, labels, "doc_id", "text", "abusive", "reviewer")
+    assert texts_ == ["x"] and yes.tolist() == [1] and votes.tolist() == [2]
+
+
+def test_sample_within_its_bounds(spark):
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "r", i % 2) for i in range(40)], "doc_id long, reviewer string, abusive int")
+    get = lambda **bounds: abuse.labelled(docs.repartition(3), labels, "doc_id", "text", "abusive", "reviewer", **bounds)
+    assert len(get()[0]) == 40 and get(most_bad=5, most_good=7)[1].sum() == 5 and len(get(most_bad=5, most_good=7)[0]) == 12
+    assert len(get(most_bytes=1050)[0]) == 10
 
 
 def test_a_rare_kind_stands_where_reviewers_agree():
@@ -144,14 +158,28 @@ def test_a_rare_kind_stands_where_reviewers_agree():
     data += [(f"{rng.choice(benign)} {rng.choice(benign)} Sample {i + 1000}.", 0.0, 1) for i in range(200)]
     data += [(f"{rng.choice(benign)} Go choke on your proof, wretch. Sample {i + 2000}.", 1.0, 3) for i in range(3)]
     rng.shuffle(data)
-    texts_, labels, votes = zip(*data)
-    w = abuse.train(list(texts_), np.array(labels), ["moron"], votes=np.array(votes))
+    texts_, labels, votes = map(list, zip(*data))
+    w = abuse.train(texts_, np.array(labels) * np.array(votes), np.array(votes, float), ["moron"])
     seen = score(["Each graph has a kernel. Go choke on your proof, wretch.", "You are a moron and a liar.", "We thank the station for its data. Each graph has a kernel."], w)
     assert seen[0] > 0.5 and seen[1] > 0.5 and seen[2] < 0.3
 
 
-def test_disguised_names_of_groups_have_a_twin():
-    from grovewise.llm import abuse
+def test_names_of_groups_have_twins():
+    texts_ = ["All gırlſ are here. No name at all.", "", "All girls are here.", "The Quillans left."]
+    found = abuse.examples(texts_, ["girls", "boys", "Quillans"])
+    assert sorted(set(found.twin_of)) == [0, 2, 3] and found.n == 4
+    assert found.content[0] == found.content[2] != found.content[1]
+    other = abuse.passages(["All boys are here."])
+    assert sorted(found.twin[found.twin_of == 0]) == sorted(other.feature)
+    plain = abuse.examples(texts_, [])
+    assert plain.n == 4 and not len(plain.twin)
+
+
+def test_names_are_learned_from_the_words_before_them():
+    texts_ = ["We met the Quillans there.", "Against Quillans nothing helps.", "We met the Ostrene there.", "On the Quay side, all quay walls.", "About Quay walls."]
+    assert abuse.group_names(texts_) == ["Quillans"]
+
 
-    found = abuse.examples(["All gırlſ are here.", "All girls are here."], identities=("girls", "boys"))
-    assert found.passages.n == 2
+def test_content_depends_on_the_order_of_words():
+    a = abuse.examples(["one two three. three two one. one two three."], [])
+    assert a.content[0] == a.content[2] != a.content[1]
