@@ -9,34 +9,32 @@ from grovewise.functions import ids
 from grovewise.llm.abuse import labelled, scored, train
 from grovewise.llm.bpe import decoded, token_counts, token_ids
 from grovewise.llm.consolidate import sets_of
-from grovewise.llm.cooccur import together
+from grovewise.llm.cooccur import tips_together, votes_within
 from grovewise.llm.packing import packed
 from grovewise.storage import Scratch
 from grovewise.plans.tables import table
 
 
-def _shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "manifest").select("plan_id", F.transform("members", ids.tip_id).alias("members"))
+def _together(spark: SparkSession, sf_dir: str, **thresholds) -> DataFrame:
+    return tips_together(table(spark, sf_dir, "manifest"), "plan_id", "members", **thresholds)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of tips of a plan in at least 4 distinct shards and at least 3 times as often as chance."""
-    found = together(_shards(spark, sf_dir), "plan_id", "members", min_together=4, min_lift=3)
+    found = _together(spark, sf_dir, min_together=4, min_lift=3)
     return found.select("plan_id", F.col("item_a").alias("tip_a"), F.col("item_b").alias("tip_b"))
 
 
 def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and association of every pair of tips that shares a shard, without a threshold."""
-    found = together(_shards(spark, sf_dir), "plan_id", "members")
+    found = _together(spark, sf_dir)
     return found.select("plan_id", F.col("item_a").alias("tip_a"), F.col("item_b").alias("tip_b"), "n_ab", "n_a", "n_b", "n_baskets", "lift", "pmi")
 
 
 def p4_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each group of the last release's tips, the counts of the pairs of its tips, added up."""
-    found = together(_shards(spark, sf_dir), "plan_id", "members").select("item_a", "item_b", "n_ab")
-    members = table(spark, sf_dir, "group_members").select(ids.group_id(F.col("group_id")).alias("group_id"), ids.tip_id(F.col("tip_id")).alias("tip")).distinct()
-    one, two = members.withColumnRenamed("tip", "item_a"), members.withColumnRenamed("tip", "item_b")
-    return found.join(one, "item_a").join(two, ["group_id", "item_b"]).groupBy("group_id").agg(F.sum("n_ab").alias("votes"))
+    members = table(spark, sf_dir, "group_members").select(ids.group_id(F.col("group_id")).alias("grp"), ids.tip_id(F.col("tip_id")).alias("tip"))
+    return votes_within(table(spark, sf_dir, "manifest"), "plan_id", "members", members.dropna()).withColumnRenamed("grp", "group_id")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+from grovewise.functions import ids
 from grovewise.llm.consolidate import _shuffled, _unshuffled, consolidate, packed_hex, sets_of, unpacked_hex
-from grovewise.llm.cooccur import together
+from grovewise.llm.cooccur import tips_together, together, votes_within
 
 
 def brute(data, least=1, lift=None):
@@ -35,7 +36,28 @@ def test_counts_with_huge_baskets_and_dirt(spark):
             assert got == brute(data, least, lift)
 
 
+def test_baskets_of_raw_tips(spark):
+    rng = random.Random(4)
+    hexes = [f"{rng.getrandbits(64):016x}" for _ in range(12)]
+    spell = lambda t: rng.choice([t, t.upper(), f" {t}\t", f"{t};size=3", f"{t.upper()};size=12; "])
+    for odd in ([], ["x1", "été", "f" * 17]):
+        plain = [(rng.choice("pq"), [rng.choice(hexes + odd) for _ in range(rng.randrange(0, 7))]) for _ in range(60)]
+        given = [(s, [spell(t) for t in b] + [None, "", " * ", "*;size=1"]) for s, b in plain] + [(None, [hexes[0]]), ("p", None), ("q", [])]
+        df = spark.createDataFrame(given, "s string, tips array<string>").withColumn("items", F.lit("clash"))
+        got = {(r["s"], r["item_a"], r["item_b"]): (r["n_ab"], r["n_a"], r["n_b"], r["n_baskets"]) for r in tips_together(df, "s", "tips").collect()}
+        assert got == brute(plain)
+        groups = [(g, t) for g in "AB" for t in rng.sample(hexes + odd, 5)] + [("C", hexes[0])]
+        votes = Counter()
+        for (_, a, b), (n, *_) in brute(plain).items():
+            votes.update({g: n for g in "AB" if (g, a) in groups and (g, b) in groups})
+        found = votes_within(df, "s", "tips", spark.createDataFrame(groups * 2, "grp string, tip string"))
+        assert {r["grp"]: r["votes"] for r in found.collect()} == votes
+        lists = [r[0] for r in ids.tip_lists(df, ["s"], ["tips"]).select("tips").collect()]
+        assert lists[:60] == [b for _, b in plain] and lists[60:] == [[hexes[0]], None, []]
+
+
 def test_empty_baskets(spark):
+    assert tips_together(spark.createDataFrame([], "s string, i array<string>"), "s", "i").count() == 0
     assert together(spark.createDataFrame([], "s string, i array<string>"), "s", "i").count() == 0
 
 
