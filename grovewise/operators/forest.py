@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -71,7 +72,7 @@ def _solver(with_path: bool):
 
 def hierarchy(
     links: DataFrame, node: str, parent: str, with_path: bool = False,
-    block_rows: int = 100_000, scratch: Scratch | None = None,
+    block_rows: int = 100_000, least_blocks: int = 16, scratch: Scratch | None = None,
 ) -> DataFrame:
     """Root and depth of every node; with ``with_path`` also the path from the root to the node.
 
@@ -81,10 +82,14 @@ def hierarchy(
     with ``with_path`` such a node also shows its parent as ``up`` (null elsewhere), for ``descendants``.
     Rows with a null node are left out; repeated rows of a node count once (the greatest parent wins).
 
-    Method: blocks of at most about ``block_rows`` links each resolve what lies within them as a weighted
-    disjoint-set forest. Between rounds, nodes that nobody points to are set aside (rake), and links are
-    joined over tops that are final or that a fresh hash picks (compress), so the rest shrinks by a
-    constant share each round, whatever the depth, and fewer and fewer blocks hold it, until one does.
+    Method: links lie in blocks by the leading bits of a hash of the node, at most about ``block_rows`` to a
+    block, and in ``least_blocks`` or more unless there are fewer than a few hundred links for each. Every
+    block resolves what lies within it as a weighted disjoint-set forest with offsets to its roots, then
+    neighbouring blocks merge, four to one, and the links that crossed between them resolve, until one block
+    is left. So that a merged block stays within ``block_rows`` however large the table, each round first
+    takes out of it what the others don't need: nodes that nobody points to are set aside (rake), and links
+    are joined over tops that are final or that a fresh hash picks (compress), which shrinks the rest by a
+    constant share whatever the depth. Blocks whose links don't yet fit into one wait with merging.
     Nodes set aside are then resolved through the tops they point to, latest first. Every round is a
     table in the shared folder; no block depends on the size of a tree.
     """
@@ -108,14 +113,15 @@ def hierarchy(
     aside: list[DataFrame] = []  # links of each round's nodes, to be resolved through their tops
     carry = ["via"] if with_path else []
     round_, held = 0, None
+    fits = lambda rows: max(0, math.ceil(math.log2(max(1, rows) / block_rows)))
+    bits = max(fits(left), math.ceil(math.log2(max(1, min(least_blocks, left / 250)))))
     while left:
         round_ += 1
-        blocks = -(-left // block_rows)
-        # links lie in blocks by node; as the rest shrinks, blocks merge
-        solved = scratch.keep(rest.repartition(blocks, F.xxhash64("node", F.lit(round_))).mapInPandas(_solver(with_path), schema))
+        block = F.shiftrightunsigned(F.xxhash64("node"), 64 - bits).cast("int") if bits else F.lit(0)
+        solved = scratch.keep(rest.repartitionById(1 << bits, block).mapInPandas(_solver(with_path), schema))
         if held is not None:
             scratch.drop(held)
-        if blocks == 1:
+        if not bits:
             # what is still open points to a root: no node of this block is left above it
             aside.append(solved.withColumn("state", F.when(F.col("state") == OPEN, ROOT).otherwise(F.col("state"))))
             break
@@ -149,6 +155,7 @@ def hierarchy(
         )
         rest = held = scratch.keep(closed.unionByName(inner.filter(~is_open)))
         left = rest.count()
+        bits = min(bits, max(fits(left), bits - 2))  # neighbours merge where they fit
 
     final = [F.col("node"), F.col("top").alias("root"), F.when(F.col("state") == CYCLE, F.lit(-1).cast("long")).otherwise(F.col("off")).alias("depth")]
     if with_path:

@@ -45,6 +45,14 @@ def test_random_functional_graph(spark):
     check(spark, links, block_rows=20)
 
 
+def test_many_blocks_merge(spark):
+    rng = random.Random(4)
+    links = {f"n{i:04d}": f"n{max(0, i - rng.randrange(1, 4)):04d}" if i else None for i in range(400)}  # deep
+    links |= {f"w{i:03d}": f"w{i // 9:03d}" if i else None for i in range(300)}  # wide
+    links |= {f"o{i:03d}": f"o{(i + 1) % 60:03d}" for i in range(60)} | {f"p{i:03d}": f"o{i:03d}" for i in range(60)}
+    check(spark, links, block_rows=40)  # 32 blocks
+
+
 def test_nulls_repeats_empty(spark, rows):
     df = spark.createDataFrame([("a", None), ("a", None), (None, "a"), ("b", "a"), ("b", "a")], "node string, top string")
     assert rows(hierarchy(df, "node", "top")) == [("a", "a", 0), ("b", "a", 1)]
