@@ -26,6 +26,7 @@ def components(edges: DataFrame, scratch: Scratch | None = None, vertices: DataF
     """
     scratch = scratch or Scratch(edges.sparkSession)
     links = scratch.keep(edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
+    before = None
     while True:
         both = links.unionAll(links.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("m", "v").alias("m"))
@@ -34,11 +35,12 @@ def components(edges: DataFrame, scratch: Scratch | None = None, vertices: DataF
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct("v", F.col("m").alias("u")))).alias("e"))
         small = scratch.keep(small.select("e.*").filter(F.col("v") != F.col("u")).distinct())
-        same = small.exceptAll(links).isEmpty() and links.exceptAll(small).isEmpty()
+        now = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         scratch.drop(large, links)
         links = small
-        if same:
+        if now == before:  # links are distinct, so their number and the sum of their hashes tell whether any moved
             break
+        before = now
     found = links.groupBy("v").agg(F.min("u").alias("component"))
     roots = found.select(F.col("component").alias("v"), "component").distinct()
     found = found.unionAll(roots)
@@ -59,11 +61,12 @@ def neighbours(hits: DataFrame, k: int) -> DataFrame:
     return top_per_key(hits, ["query"], [("identity", "descending"), ("target", "descending")], k, ["query", "target", "identity"])
 
 
-def nearest(vectors: DataFrame, key: str, vector: str, is_query: Column, k: int, block: int = 2000) -> DataFrame:
+def nearest(vectors: DataFrame, key: str, vector: str, is_query: Column, k: int, block: int = 2000, row_block: int = 16_000) -> DataFrame:
     """The k rows with the greatest dot product for each query row, itself excluded: ``query, target, score``.
 
-    Exact. Queries and rows are gathered in blocks of about ``block`` by hash; each pair of a query block
-    and a row block is one product, and only its k best a query go on. Scores of integers are integers.
+    Exact. Rows are gathered in blocks of about ``row_block`` by hash, each once; queries, in blocks of about
+    ``block``, go to every block of rows and meet it where it lies. Each pair of blocks is one product, and
+    only its k best a query go on. Scores of integers are integers.
     With fractions the product only picks: whatever lies within twice its bound on rounding of the k-th best
     goes on with a correctly rounded sum, so scores don't depend on the blocks. Ties go to the smaller key.
     """
@@ -73,7 +76,7 @@ def nearest(vectors: DataFrame, key: str, vector: str, is_query: Column, k: int,
     n = rows.agg(F.count(F.lit(1)), F.count_if("asks")).first()
     if not n[0]:
         return rows.select(F.col("key").alias("query"), F.col("key").alias("target"), F.lit(0).cast(score_type).alias("score"))
-    b_rows, b_queries = -(-n[0] // block), max(1, -(-n[1] // block))
+    b_rows, b_queries = max(-(-n[0] // row_block), min(-(-n[0] // 500), vectors.sparkSession.sparkContext.defaultParallelism)), max(1, -(-n[1] // block))
     cell = F.collect_list(F.struct("key", "vector"))
     held = rows.groupBy(F.pmod(F.xxhash64("key"), F.lit(b_rows).cast("bigint")).alias("row_block")).agg(cell.alias("rows"))
     asked = rows.filter("asks").groupBy(F.pmod(F.xxhash64("key"), F.lit(b_queries)).alias("query_block")).agg(cell.alias("queries"))
@@ -99,5 +102,5 @@ def nearest(vectors: DataFrame, key: str, vector: str, is_query: Column, k: int,
                 yield found[found["query"] != found["target"]]
 
     kind = vectors.schema[key].dataType.simpleString()
-    partial = pairs.repartition(F.xxhash64("queries", "rows")).mapInPandas(products, f"query {kind}, target {kind}, score {score_type}")
+    partial = pairs.mapInPandas(products, f"query {kind}, target {kind}, score {score_type}")
     return top_per_key(partial, ["query"], [("score", "descending"), ("target", "ascending")], k)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grovewise.functions import records
+from grovewise.storage import Scratch
 
 
 def lineage(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -35,31 +38,39 @@ def lineage(new: DataFrame, old: DataFrame) -> DataFrame:
     return continued.unionByName(born).unionByName(retired)
 
 
-def minted(groups: DataFrame, taken: DataFrame | None = None) -> DataFrame:
-    """A new id for each group from its inputs, whatever their order.
+def minted(groups: DataFrame, taken: DataFrame | None = None, salt: str = "", scratch: Scratch | None = None) -> DataFrame:
+    """A new id for each group from its inputs, whatever their order (A38, P13): ``grp``, ``id``.
 
-    ``groups(grp, input)``. The id is a base-32 digest of the group's sorted inputs' hash sum and size;
-    ids that collide with each other or with ``taken(id)`` are drawn again with a salt until none does.
+    ``groups(grp, input)``, ``taken(id)`` all ids ever given. The id is the first eight digits, in base 32, of a
+    hash of ``salt`` and the group's content; where it is taken, or goes to a group that comes before (by
+    smallest input, then size, then name), it is one digit longer, and so on until every group has one.
+    The content is the sum of the inputs' hashes and their number, so no group's inputs are gathered.
     """
-    # a sum of hashes doesn't depend on order and needs no list of inputs
-    digest = [F.sum(F.conv(F.substring(F.sha2(F.col("input").cast("string"), 256), at, 12), 16, 10).cast("decimal(38,0)")) for at in (1, 13, 25)]
-    keyed = groups.select("grp", "input").distinct().groupBy("grp").agg(F.concat_ws(":", *(d.cast("string") for d in digest), F.count(F.lit(1)).cast("string")).alias("content"))
-    done, rest, salt = None, keyed, 0
-    while True:
-        drawn = rest.withColumn("id", records.short_id(F.concat_ws("/", "content", F.lit(str(salt)))))
-        used = taken.select("id") if taken is not None else None
-        if done is not None:
-            used = done.select("id") if used is None else used.unionAll(done.select("id"))
-        if used is not None:
-            drawn = drawn.join(used.distinct().withColumn("used", F.lit(True)), "id", "left")
-        else:
-            drawn = drawn.withColumn("used", F.lit(None).cast("boolean"))
-        first = drawn.filter(F.col("used").isNull()).groupBy("id").agg(F.min("grp").alias("grp"))
-        done = first if done is None else done.unionByName(first)
-        rest = rest.join(first.select("grp"), "grp", "left_anti")
-        salt += 1
+    scratch = scratch or Scratch(groups.sparkSession)
+    text = F.col("input").cast("string")
+    digest = [F.sum(F.conv(F.substring(F.sha2(text, 256), at, 12), 16, 10).cast("decimal(38,0)")) for at in (1, 13, 25)]
+    keyed = groups.select("grp", "input").distinct().groupBy("grp").agg(
+        F.concat_ws(":", *(d.cast("string") for d in digest), F.count(F.lit(1)).cast("string")).alias("content"), F.struct(F.min("input"), F.count(F.lit(1)), "grp").alias("turn"),
+    )
+    rest = scratch.keep(keyed)
+    used = scratch.keep(taken.select("id").distinct()) if taken is not None else None
+    done: list[DataFrame] = []
+    for digits in range(8, 52):
+        drawn = rest.withColumn("id", records.short_id(F.concat_ws("|", F.lit(salt), "content"), digits))
+        free = drawn if used is None else drawn.join(used, "id", "left_anti")
+        first = scratch.keep(free.groupBy("id").agg(F.min("turn").alias("turn")).select(F.col("turn.grp").alias("grp"), "id"))
+        done.append(first)
+        rest = scratch.keep(rest.join(first.select("grp"), "grp", "left_anti"))
         if rest.isEmpty():
-            return done.select("grp", "id")
+            return reduce(DataFrame.unionAll, done)
+    raise ValueError("groups with equal content can't all have an id")
+
+
+def registry(before: DataFrame, new: DataFrame, release: str) -> DataFrame:
+    """All ids ever given with their release: those of ``before(id, release)`` and ``new(id)`` (U9). An id stays
+    with the release that gave it first."""
+    fresh = new.select("id").distinct().join(before.select("id"), "id", "left_anti").select("id", F.lit(release).alias("release"))
+    return before.select("id", "release").unionByName(fresh)
 
 
 def adjusted_rand(labels: DataFrame, a: str, b: str) -> DataFrame:

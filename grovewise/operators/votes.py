@@ -79,20 +79,20 @@ def tip_pull(grouped: DataFrame) -> DataFrame:
     """The outside group, or ungrouped tip, that pulls each tip most.
 
     Votes across the group's border are pooled by target; the greatest share of hits wins, then more
-    votes, groups before tips, the smaller id. ``target_kind`` is ``group``, ``tip``, or ``nothing_joins``
+    votes, groups before tips, the smaller id in its own type. ``target_kind`` is ``group``, ``tip``, or ``nothing_joins``
     (then hits are 0 and votes and partners are totals). Tips without outside votes have no row.
     """
     outside = _both_ends(grouped.filter(F.col("gi").isNull() | F.col("gj").isNull() | (F.col("gi") != F.col("gj"))))
-    target = F.coalesce(F.col("other_grp").cast("string"), F.col("other").cast("string"))
-    pooled = outside.groupBy("level", "tip", "grp", F.when(F.col("other_grp").isNotNull(), 0).otherwise(1).alias("kind"), target.alias("target")).agg(
+    to_tip = F.when(F.col("other_grp").isNull(), F.col("other"))
+    pooled = outside.groupBy("level", "tip", "grp", F.when(F.col("other_grp").isNotNull(), 0).otherwise(1).alias("kind"), F.col("other_grp").alias("to_grp"), to_tip.alias("to_tip")).agg(
         F.sum("hits").alias("h"), F.sum("votes").alias("v"), F.count(F.lit(1)).alias("n")
     )
-    best = F.min(F.struct((-F.col("h") / F.col("v")).alias("share"), (-F.col("v")).alias("v"), "kind", "target", "h", "n"))
+    best = F.min(F.struct((-F.col("h") / F.col("v")).alias("share"), (-F.col("v")).alias("v"), "kind", "to_grp", "to_tip", "h", "n"))
     each = pooled.groupBy("level", "tip", "grp").agg(best.alias("b"), F.sum("v").alias("all_v"), F.sum("n").alias("all_n"))
     joins = F.col("b.h") > 0
     return each.select(
         "level", "tip", "grp", F.when(joins, -F.col("b.share")).otherwise(F.lit(0.0)).alias("pull"),
-        F.when(~joins, "nothing_joins").when(F.col("b.kind") == 0, "group").otherwise("tip").alias("target_kind"), F.when(joins, F.col("b.target")).alias("target"),
+        F.when(~joins, "nothing_joins").when(F.col("b.kind") == 0, "group").otherwise("tip").alias("target_kind"), F.when(joins, F.coalesce(F.col("b.to_grp").cast("string"), F.col("b.to_tip").cast("string"))).alias("target"),
         F.when(joins, F.col("b.h")).otherwise(F.lit(0)).cast("bigint").alias("hits"), F.when(joins, -F.col("b.v")).otherwise(F.col("all_v")).alias("votes"),
         F.when(joins, F.col("b.n")).otherwise(F.col("all_n")).alias("partners"),
     )
@@ -105,24 +105,30 @@ def group_pull(pulls: DataFrame) -> DataFrame:
 
 
 def separation(pairs: DataFrame, group_of: DataFrame) -> DataFrame:
-    """Spread of each group and its nearest other groups by observed distances.
+    """Spread of each group and its nearest relatives by observed distances.
 
-    ``pairs(i, j, d)``; result: grp, spread (greatest distance inside), nearest and second group with
-    their distances, and the number of ungrouped tips closer than the nearest group.
+    ``pairs(i, j, d)``; result: grp, ``spread`` and ``spread_median`` (greatest and median distance inside),
+    ``pairs`` behind them, the ``nearest`` and ``second`` other group, each by its closest tip (with that tip
+    and distance; ties go to the smaller tip), the nearest ungrouped tip (``stray``), and the number of
+    ungrouped tips closer than the nearest group.
     """
     g = group_of.select("tip", "grp")
     both = pairs.join(g.select(F.col("tip").alias("i"), F.col("grp").alias("gi")), "i", "left").join(g.select(F.col("tip").alias("j"), F.col("grp").alias("gj")), "j", "left")
-    inside = both.filter(F.col("gi") == F.col("gj")).groupBy(F.col("gi").alias("grp")).agg(F.max("d").alias("spread"), F.count(F.lit(1)).alias("pairs"))
+    inside = both.filter(F.col("gi") == F.col("gj")).groupBy(F.col("gi").alias("grp"))
+    inside = inside.agg(F.max("d").alias("spread"), F.percentile(F.col("d").cast("double"), F.lit(0.5)).alias("spread_median"), F.count(F.lit(1)).alias("pairs"))
     ends = F.explode(F.array(F.struct(F.col("gi").alias("grp"), F.col("gj").alias("og"), F.col("j").alias("ot")), F.struct(F.col("gj").alias("grp"), F.col("gi").alias("og"), F.col("i").alias("ot"))))
     out = both.filter(~F.col("gi").eqNullSafe(F.col("gj"))).select("d", ends.alias("e")).select("d", "e.*").filter(F.col("grp").isNotNull())
-    by_group = out.filter(F.col("og").isNotNull()).groupBy("grp", "og").agg(F.min("d").alias("d"))
-    first = by_group.groupBy("grp").agg(F.min(F.struct("d", "og")).alias("a"))
-    second = by_group.join(first, "grp").filter(F.col("og") != F.col("a.og")).groupBy("grp").agg(F.min(F.struct("d", "og")).alias("b"))
-    strays = out.filter(F.col("og").isNull()).groupBy("grp", "ot").agg(F.min("d").alias("d")).join(first, "grp", "left")
-    strays = strays.filter(F.col("a").isNull() | (F.col("d") < F.col("a.d"))).groupBy("grp").agg(F.count(F.lit(1)).alias("strays_closer"))
+    closest = out.filter(F.col("og").isNotNull()).groupBy("grp", "og").agg(F.min(F.struct("d", "ot")).alias("c")).select("grp", "c.d", "c.ot", "og")
+    first = closest.groupBy("grp").agg(F.min(F.struct("d", "ot", "og")).alias("a"))
+    second = closest.join(first, "grp").filter(F.col("og") != F.col("a.og")).groupBy("grp").agg(F.min(F.struct("d", "ot", "og")).alias("b"))
+    loose = out.filter(F.col("og").isNull()).groupBy("grp", "ot").agg(F.min("d").alias("d")).join(first, "grp", "left")
+    closer = F.count_if(F.col("a").isNull() | (F.col("d") < F.col("a.d")))
+    strays = loose.groupBy("grp").agg(F.min(F.struct("d", "ot")).alias("s"), closer.alias("strays_closer"))
     names = g.filter(F.col("grp").isNotNull()).select("grp").distinct()
     whole = names.join(inside, "grp", "left").join(first, "grp", "left").join(second, "grp", "left").join(strays, "grp", "left")
     return whole.select(
-        "grp", "spread", F.coalesce("pairs", F.lit(0)).alias("pairs"), F.col("a.og").alias("nearest"), F.col("a.d").alias("nearest_distance"),
-        F.col("b.og").alias("second"), F.col("b.d").alias("second_distance"), F.coalesce("strays_closer", F.lit(0)).alias("strays_closer"),
+        "grp", "spread", "spread_median", F.coalesce("pairs", F.lit(0)).alias("pairs"),
+        F.col("a.og").alias("nearest"), F.col("a.ot").alias("nearest_tip"), F.col("a.d").alias("nearest_distance"),
+        F.col("b.og").alias("second"), F.col("b.ot").alias("second_tip"), F.col("b.d").alias("second_distance"),
+        F.col("s.ot").alias("stray"), F.col("s.d").alias("stray_distance"), F.coalesce("strays_closer", F.lit(0)).alias("strays_closer"),
     )

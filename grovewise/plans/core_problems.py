@@ -84,7 +84,8 @@ ORACLE = {
     "p2_descendants": f"""WITH RECURSIVE {_LAST}, up AS (SELECT l.group_id AS descendant_id, l.parent_id AS group_id, 1 AS distance
         FROM link l JOIN walk w ON l.group_id = w.group_id WHERE l.parent_id IS NOT NULL
         UNION ALL SELECT u.descendant_id, l.parent_id, u.distance + 1 FROM up u JOIN link l ON u.group_id = l.group_id WHERE l.parent_id IS NOT NULL)
-        SELECT group_id, descendant_id, distance FROM up""",
+        SELECT group_id, descendant_id, distance FROM up
+        UNION ALL SELECT here, group_id, min(n) FROM loop WHERE here <> group_id GROUP BY 1, 2""",
     "p3_found": f"""WITH {_CURRENT}, held AS (SELECT c.group_id, c.n_tips, r.seq_no FROM cur c JOIN releases r ON c.release = r.release),
         pair AS (SELECT seq_no, lag(seq_no) OVER (ORDER BY seq_no) AS old FROM releases)
         SELECT r.release, coalesce(n.group_id, o.group_id) AS group_id,

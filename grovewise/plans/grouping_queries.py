@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovewise.functions import ids, records
-from grovewise.operators import covers, graph, layers, linkage, placement, votes
+from grovewise.operators import covers, graph, layers, linkage, numbering, placement, votes
 from grovewise.operators import lineage as lines
 from grovewise.operators.dereplicate import dereplicate, summary
 from grovewise.operators.hotkeys import top_per_key
@@ -73,17 +73,17 @@ def cohesion_held(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tip_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A12, W3."""
+    """The target that pulls each supplier most."""
     return votes.tip_pull(_grouped(spark, sf_dir))
 
 
 def group_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cohesion, pull and margin (unrounded) of each group."""
+    """Cohesion, pull and margin of each group."""
     grouped = _grouped(spark, sf_dir)
     inner = votes.cohesion(grouped, _group_of(spark, sf_dir))
     pull = votes.group_pull(votes.tip_pull(grouped))
     whole = inner.join(pull, ["level", "grp"], "left")
-    return whole.select("level", "grp", "cohesion", F.coalesce("pull", F.lit(0.0)).alias("pull"), (F.col("cohesion") - F.coalesce("pull", F.lit(0.0))).alias("margin"))
+    return whole.select("level", "grp", "cohesion", F.coalesce("pull", F.lit(0.0)).alias("pull"), records.margin(F.col("cohesion"), F.coalesce("pull", F.lit(0.0))).alias("margin"))
 
 
 def level_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,19 +144,19 @@ def outgroups_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scaffold_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to three tips of each component with the most copies."""
-    return layers.representatives(table(spark, sf_dir, "scaffold"), "component", "tip_id", "copies", 3)
+    """Up to thirty tips of each component with the most copies."""
+    return layers.scaffold(table(spark, sf_dir, "scaffold"), "component", "tip_id", "copies")
 
 
 def _shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "manifest")
-    clean = lambda c: F.filter(F.transform(c, ids.tip_id), lambda x: x.isNotNull())
-    return rows.select("plan_id", ids.component_id(F.col("component")).alias("component"), "cover", "shard", clean("members").alias("members"), clean("context").alias("context")).filter(F.size("members") > 0)
+    rows = ids.tip_lists(table(spark, sf_dir, "manifest"), ["plan_id", "component", "cover", "shard"], ["members", "context"])
+    return rows.withColumn("component", ids.component_id(F.col("component"))).filter(F.size("members") > 0)
 
 
 def coverage_account(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tip of the search, found or not, and of the shards, by the distinct shards that hold it."""
-    held = _shards(spark, sf_dir).select("plan_id", records.set_key(F.col("members")).alias("key"), F.explode(F.array_distinct("members")).alias("tip")).distinct()
+    shards = _shards(spark, sf_dir).select("plan_id", F.array_sort(F.array_distinct("members")).alias("members")).distinct()
+    held = Scratch(spark).keep(shards.select(F.explode("members").alias("tip")).groupBy("tip").agg(F.count(F.lit(1)).alias("n_shards")))
     tips = _knn_tips(spark, sf_dir).unionAll(held.select("tip")).distinct()
     return covers.accounted(held, _hits(spark, sf_dir), tips, 3)
 
@@ -235,11 +235,11 @@ def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_contiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First place and size of 23 contiguous chunks of the orders by key (keys are dense, so they give the place)."""
-    orders = table(spark, sf_dir, "orders")
-    n = orders.agg(F.count(F.lit(1)).alias("total"), F.min("o_orderkey").alias("first"))
-    placed = orders.crossJoin(F.broadcast(n)).select((F.col("o_orderkey") - F.col("first")).alias("place"), "total")  # one row
-    return placed.select(records.chunk_of(F.col("place"), F.col("total"), 23).alias("chunk"), "place").groupBy("chunk").agg(F.min("place").alias("first_place"), F.count(F.lit(1)).alias("n"))
+    """First order, last order and size of 23 contiguous chunks of the orders by customer and key."""
+    placed = numbering.numbered(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"])
+    total = F.lit(placed.count())
+    ends = [F.min_by("o_orderkey", "place").alias("first_order"), F.max_by("o_orderkey", "place").alias("last_order")]
+    return placed.groupBy(records.chunk_of(F.col("place"), total, 23).alias("chunk")).agg(*ends, F.count(F.lit(1)).alias("n"))
 
 
 def _merges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,8 +248,18 @@ def _merges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def average_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers by the mean of their pair medians."""
-    return _merges(spark, sf_dir)
+    """Suppliers by the mean of their pair medians."""
+    return _merges(spark, sf_dir).drop("round", "made_a", "made_b", "weakest")
+
+
+def forest_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of the linkage that no observed pair joins, with their size."""
+    return linkage.parts(_merges(spark, sf_dir), table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tip")))
+
+
+def numbered_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of the linkage numbered at each level, larger ones first."""
+    return numbering.groups_by_size(Scratch(spark).keep(cut_groups(spark, sf_dir)))
 
 
 def cut_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,7 +270,8 @@ def cut_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stem_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes set apart that no level shows."""
-    return linkage.stem_nodes(linkage.nodes(_merges(spark, sf_dir)), [0.03, 0.04], least_stem=0.0001, grid=0.00005)
+    found = linkage.stem_nodes(linkage.nodes(_merges(spark, sf_dir)), [0.03, 0.04], least_stem=0.0001, grid=0.00005)
+    return found.select("a", "b", "height", "height_top", "size", "measured_at")
 
 
 def weakest_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,7 +330,7 @@ QUERIES = {f.__name__: f for f in (
     content_dedup, input_summary, pair_consensus, votes_at_levels, membership, cohesion_held, tip_pull, group_margin, level_summary, separation, unit_pairs,
     knn_top, component_anchors, outgroups_top8, scaffold_top, coverage_account, twin_shards, distinct_shards, central_shards, hash_cover, sparse_plan,
     vector_neighbours, lineage, minted_ids, adjusted_rand, candidate_status, status_counts, assigned, chunk_contiguous, average_linkage, cut_groups,
-    stem_nodes, weakest_links, formed_nodes, enclosing_groups, group_identities, unit_neighbours, unit_cover, context_units, large_parts,
+    stem_nodes, weakest_links, forest_parts, numbered_groups, formed_nodes, enclosing_groups, group_identities, unit_neighbours, unit_cover, context_units, large_parts,
 )}
 
 _VOTES = """base AS (SELECT l_orderkey AS shard, l_suppkey AS tip, min(l_discount) AS x FROM lineitem GROUP BY 1, 2),
@@ -335,12 +346,12 @@ coh AS (SELECT level, gi AS grp, sum(hits) AS h, sum(votes) AS votes, count(*) A
 size AS (SELECT grp, count(*) AS n_tips FROM g WHERE grp IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
 inner_ AS (SELECT lv.level, s.grp, s.n_tips, h / c.votes AS cohesion, CAST(coalesce(c.votes, 0) AS BIGINT) AS votes, coalesce(pairs, 0) AS pairs,
     coalesce(pairs, 0) / (n_tips * (n_tips - 1) / 2) AS held FROM size s CROSS JOIN lv LEFT JOIN coh c ON c.level = lv.level AND c.grp = s.grp),
-pool AS (SELECT level, tip, grp, CASE WHEN og IS NULL THEN 1 ELSE 0 END AS kind, coalesce(CAST(og AS VARCHAR), CAST(other AS VARCHAR)) AS target,
+pool AS (SELECT level, tip, grp, CASE WHEN og IS NULL THEN 1 ELSE 0 END AS kind, og, CASE WHEN og IS NULL THEN other END AS ot,
     sum(hits) AS h, sum(votes) AS v, count(*) AS n FROM ends WHERE grp IS NULL OR og IS NULL OR grp <> og GROUP BY ALL),
 tot AS (SELECT level, tip, sum(v) AS all_v, sum(n) AS all_n FROM pool GROUP BY 1, 2),
-top AS (SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY level, tip ORDER BY h / v DESC, v DESC, kind, target) = 1),
+top AS (SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY level, tip ORDER BY h / v DESC, v DESC, kind, og, ot) = 1),
 pull AS (SELECT p.level, p.tip, p.grp, CASE WHEN h > 0 THEN h / v ELSE 0.0::DOUBLE END AS pull, CASE WHEN h = 0 THEN 'nothing_joins' WHEN kind = 0 THEN 'group' ELSE 'tip' END AS target_kind,
-    CASE WHEN h > 0 THEN target END AS target, CAST(h AS BIGINT) AS hits, CAST(CASE WHEN h > 0 THEN v ELSE all_v END AS BIGINT) AS votes,
+    CASE WHEN h > 0 THEN coalesce(CAST(og AS VARCHAR), CAST(ot AS VARCHAR)) END AS target, CAST(h AS BIGINT) AS hits, CAST(CASE WHEN h > 0 THEN v ELSE all_v END AS BIGINT) AS votes,
     CAST(CASE WHEN h > 0 THEN n ELSE all_n END AS BIGINT) AS partners FROM top p JOIN tot t ON t.level = p.level AND t.tip = p.tip),
 gpull AS (SELECT level, grp, coalesce(sum(hits) / nullif(sum(votes), 0), 0) AS pull FROM pull WHERE grp IS NOT NULL GROUP BY 1, 2),
 unit AS (SELECT tip, coalesce(CAST(grp AS VARCHAR), 'lone:' || tip) AS unit FROM g),
@@ -348,16 +359,38 @@ uvote AS (SELECT least(a.unit, b.unit) AS i, greatest(a.unit, b.unit) AS j, v FR
 upair AS (SELECT i, j, count(*) AS votes, list_sort(list(v)) AS vs FROM uvote GROUP BY 1, 2),
 dist AS (SELECT m.i, m.j, m.med AS d, a.grp AS gi, b.grp AS gj FROM med m LEFT JOIN g a ON a.tip = m.i LEFT JOIN g b ON b.tip = m.j),
 out_ AS (SELECT gi AS grp, gj AS og, j AS ot, d FROM dist WHERE gi IS NOT NULL AND gi IS DISTINCT FROM gj UNION ALL SELECT gj, gi, i, d FROM dist WHERE gj IS NOT NULL AND gi IS DISTINCT FROM gj),
-near AS (SELECT grp, og, min(d) AS d, row_number() OVER (PARTITION BY grp ORDER BY min(d), og) AS r FROM out_ WHERE og IS NOT NULL GROUP BY grp, og),
-stray AS (SELECT o.grp, count(DISTINCT ot) AS n FROM out_ o LEFT JOIN near n ON n.grp = o.grp AND r = 1 WHERE o.og IS NULL AND (n.d IS NULL OR o.d < n.d) GROUP BY 1)"""
-
+closest AS (SELECT * FROM out_ WHERE og IS NOT NULL QUALIFY row_number() OVER (PARTITION BY grp, og ORDER BY d, ot) = 1),
+near AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY d, ot) AS r FROM closest),
+loose AS (SELECT grp, ot, d FROM out_ WHERE og IS NULL),
+stray AS (SELECT o.grp, count(DISTINCT o.ot) AS n FROM loose o LEFT JOIN near n ON n.grp = o.grp AND r = 1 WHERE n.d IS NULL OR o.d < n.d GROUP BY 1),
+first_stray AS (SELECT * FROM loose QUALIFY row_number() OVER (PARTITION BY grp ORDER BY d, ot) = 1)"""
+
+# one merge a step, of the pair of clusters with the least mean (the names break ties)
+_MERGES = _VOTES + """,
+st AS (SELECT 0 AS step, i AS a, j AS b, CAST(round(CAST(med AS DOUBLE) * 1099511627776) AS HUGEINT) AS s, CAST(1 AS HUGEINT) AS n, CAST(votes AS HUGEINT) AS w,
+        CAST(1 AS BIGINT) AS sa, CAST(1 AS BIGINT) AS sb, CAST(NULL AS HUGEINT) AS wa, CAST(NULL AS HUGEINT) AS wb FROM med
+    UNION ALL SELECT step + 1, least(x, y), greatest(x, y), sum(s), sum(n), sum(w), max(CASE WHEN x < y THEN nx ELSE ny END), max(CASE WHEN x < y THEN ny ELSE nx END),
+        max(CASE WHEN x < y THEN kx ELSE ky END), max(CASE WHEN x < y THEN ky ELSE kx END)
+    FROM (SELECT *, CASE WHEN a = mb THEN ma ELSE a END AS x, CASE WHEN b = mb THEN ma ELSE b END AS y, CASE WHEN a IN (ma, mb) THEN ms ELSE sa END AS nx,
+            CASE WHEN b IN (ma, mb) THEN ms ELSE sb END AS ny, CASE WHEN a IN (ma, mb) THEN mw ELSE wa END AS kx, CASE WHEN b IN (ma, mb) THEN mw ELSE wb END AS ky
+        FROM (SELECT *, first_value(a) OVER o AS ma, first_value(b) OVER o AS mb, first_value(sa + sb) OVER o AS ms, first_value(least(w, wa, wb)) OVER o AS mw
+            FROM st WINDOW o AS (ORDER BY CAST(s AS DOUBLE) / CAST(n AS DOUBLE), a, b)))
+    WHERE x <> y GROUP BY step, least(x, y), greatest(x, y)),
+merges AS (SELECT step, a, b, CAST(s AS DOUBLE) / CAST(n AS DOUBLE) / 1099511627776 AS height, CAST(n AS BIGINT) AS observed, CAST(w AS BIGINT) AS votes, sa AS size_a, sb AS size_b,
+    CAST(least(w, wa, wb) AS BIGINT) AS weakest FROM st QUALIFY row_number() OVER (PARTITION BY step ORDER BY CAST(s AS DOUBLE) / CAST(n AS DOUBLE), a, b) = 1)"""
+_CUT = _MERGES + """,
+cl AS (SELECT unnest(CAST([0.02, 0.03, 0.04] AS DOUBLE[])) AS level),
+climb AS (SELECT level, s_suppkey AS tip, s_suppkey AS at_ FROM supplier, cl UNION ALL SELECT c.level, c.tip, m.a FROM climb c JOIN merges m ON m.b = c.at_ AND m.height <= c.level),
+root AS (SELECT level, tip, min(at_) AS root FROM climb GROUP BY 1, 2),
+cut_ AS (SELECT level, tip, CASE WHEN count(*) OVER (PARTITION BY level, root) > 1 THEN root END AS grp FROM root)"""
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(12288)"
 _TIP = lambda x: f"nullif(nullif(trim(regexp_replace(lower(trim({x}, {_BLANK})), ';size=[0-9]+;?$', ''), {_BLANK}), ''), '*')"
 _HITS = f"""named AS (SELECT {_TIP('query')} AS query, {_TIP('target')} AS target, CASE WHEN identity <= 1 THEN identity * 100 ELSE identity END AS identity FROM knn),
 hits AS (SELECT query, target, max(identity) AS identity FROM named WHERE query <> target GROUP BY 1, 2)"""
 _HOME = _HITS + """,
 edge AS (SELECT query AS a, target AS b FROM hits WHERE identity >= 86 UNION SELECT target, query FROM hits WHERE identity >= 86),
-reach AS (SELECT DISTINCT a AS id, a AS seen FROM edge UNION SELECT r.id, e.b FROM reach r JOIN edge e ON r.seen = e.a),
+tips AS (SELECT query AS id FROM named WHERE query IS NOT NULL UNION SELECT target FROM named WHERE target IS NOT NULL),
+reach AS (SELECT id, id AS seen FROM tips UNION SELECT r.id, e.b FROM reach r JOIN edge e ON r.seen = e.a),
 home AS (SELECT id AS tip, min(seen) AS component FROM reach GROUP BY id),
 cand AS (SELECT h.query, h.target, h.identity, m.component FROM hits h JOIN home m ON m.tip = h.target WHERE h.identity IS NOT NULL),
 best AS (SELECT query, identity, min(target) AS candidate, min(component) AS component, count(DISTINCT component) AS nc FROM cand
@@ -381,29 +414,32 @@ ORACLE = {
     "membership": f"WITH {_VOTES} SELECT level, tip, grp, sum(hits) / sum(votes) AS membership, CAST(sum(votes) AS BIGINT) AS votes, count(*) AS partners FROM ends WHERE grp = og GROUP BY 1, 2, 3",
     "cohesion_held": f"WITH {_VOTES} SELECT * FROM inner_",
     "tip_pull": f"WITH {_VOTES} SELECT * FROM pull",
-    "group_margin": f"WITH {_VOTES} SELECT i.level, i.grp, cohesion, coalesce(p.pull, 0) AS pull, cohesion - coalesce(p.pull, 0) AS margin FROM inner_ i LEFT JOIN gpull p ON p.level = i.level AND p.grp = i.grp",
+    "group_margin": f"WITH {_VOTES} SELECT i.level, i.grp, cohesion, coalesce(p.pull, 0) AS pull, round_even(round_even(cohesion, 3) - coalesce(p.pull, 0), 3) AS margin FROM inner_ i LEFT JOIN gpull p ON p.level = i.level AND p.grp = i.grp",
     "level_summary": f"WITH {_VOTES} SELECT level, count(*) AS groups, CAST(sum(n_tips) AS BIGINT) AS tips_in_groups, max(n_tips) AS largest, quantile_cont(held, 0.1) AS held_10 FROM inner_ GROUP BY 1",
-    "separation": f"""WITH {_VOTES} SELECT s.grp, i.spread, coalesce(i.pairs, 0) AS pairs, a.og AS nearest, a.d AS nearest_distance, b.og AS second, b.d AS second_distance, coalesce(t.n, 0) AS strays_closer
-        FROM (SELECT DISTINCT grp FROM g WHERE grp IS NOT NULL) s LEFT JOIN (SELECT gi AS grp, max(d) AS spread, count(*) AS pairs FROM dist WHERE gi = gj GROUP BY 1) i ON i.grp = s.grp
-        LEFT JOIN near a ON a.grp = s.grp AND a.r = 1 LEFT JOIN near b ON b.grp = s.grp AND b.r = 2 LEFT JOIN stray t ON t.grp = s.grp""",
+    "separation": f"""WITH {_VOTES} SELECT s.grp, i.spread, i.spread_median, coalesce(i.pairs, 0) AS pairs, a.og AS nearest, a.ot AS nearest_tip, a.d AS nearest_distance,
+            b.og AS second, b.ot AS second_tip, b.d AS second_distance, f.ot AS stray, f.d AS stray_distance, coalesce(t.n, 0) AS strays_closer
+        FROM (SELECT DISTINCT grp FROM g WHERE grp IS NOT NULL) s LEFT JOIN (SELECT gi AS grp, max(d) AS spread, median(CAST(d AS DOUBLE)) AS spread_median, count(*) AS pairs FROM dist WHERE gi = gj GROUP BY 1) i ON i.grp = s.grp
+        LEFT JOIN near a ON a.grp = s.grp AND a.r = 1 LEFT JOIN near b ON b.grp = s.grp AND b.r = 2 LEFT JOIN stray t ON t.grp = s.grp LEFT JOIN first_stray f ON f.grp = s.grp""",
     "unit_pairs": f"WITH {_VOTES} SELECT i, j, CAST((vs[(votes - 1) // 2 + 1] + vs[votes // 2 + 1]) / CAST(2 AS FLOAT) AS FLOAT) AS med, votes FROM upair WHERE votes >= 3",
     "knn_top": f"WITH {_HITS} SELECT query, target, identity FROM hits WHERE identity IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query ORDER BY identity DESC, target DESC) <= 5",
     "component_anchors": f"""WITH RECURSIVE {_HOME}, c AS (SELECT target, count(*) AS copies FROM hits GROUP BY 1)
         SELECT component, arg_min(tip, (-coalesce(copies, 0), tip)) AS anchor, count(*) AS n_tips FROM home LEFT JOIN c ON c.target = tip GROUP BY 1""",
     "outgroups_top8": f"""WITH RECURSIVE {_HOME} SELECT q.component, h.target, count(*) AS n_hits FROM hits h JOIN home q ON q.tip = h.query LEFT JOIN home t ON t.tip = h.target
         WHERE q.component IS DISTINCT FROM t.component GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY q.component ORDER BY count(*) DESC, h.target) <= 8""",
-    "scaffold_top": "SELECT component, tip_id, copies FROM scaffold QUALIFY row_number() OVER (PARTITION BY component ORDER BY copies DESC, tip_id) <= 3",
+    "scaffold_top": "SELECT component, tip_id, copies FROM scaffold QUALIFY row_number() OVER (PARTITION BY component ORDER BY copies DESC, tip_id DESC) <= 30",
     "coverage_account": f"""WITH {_HITS}, {_SHARDS}, held AS (SELECT DISTINCT plan_id, key, unnest(members) AS tip FROM full_), seen AS (SELECT tip, count(*) AS n FROM held GROUP BY 1),
-        near AS (SELECT query AS tip, count(DISTINCT target) AS m FROM hits GROUP BY 1), tip AS (SELECT query AS tip FROM hits UNION SELECT target FROM hits)
+        near AS (SELECT query AS tip, count(DISTINCT target) AS m FROM hits GROUP BY 1),
+        tip AS (SELECT query AS tip FROM named WHERE query IS NOT NULL UNION SELECT target FROM named WHERE target IS NOT NULL UNION SELECT tip FROM held)
         SELECT t.tip, coalesce(n, 0) AS n_shards, CASE WHEN coalesce(n, 0) >= 3 THEN 'covered' WHEN coalesce(n, 0) = 0 AND coalesce(m, 0) < 3 THEN 'isolated' ELSE 'under' END AS status
         FROM tip t LEFT JOIN seen s ON s.tip = t.tip LEFT JOIN near r ON r.tip = t.tip""",
     "twin_shards": f"WITH {_SHARDS} SELECT DISTINCT b.plan_id, b.shard, a.shard AS twin FROM full_ b JOIN (SELECT plan_id, own, min(shard) AS shard FROM full_ WHERE cover = 0 GROUP BY 1, 2) a ON a.plan_id = b.plan_id AND a.own = b.own WHERE b.cover = 1",
     "distinct_shards": f"WITH {_SHARDS} SELECT plan_id, key, min(shard) AS shard, CAST(max(len(list_distinct(members))) AS INT) AS n_members, count(DISTINCT shard) AS n_shards FROM full_ GROUP BY 1, 2",
-    "central_shards": f"""WITH {_SHARDS}, pos AS (SELECT plan_id, cover, shard, unnest(members) AS tip, unnest(range(len(members))) AS pos FROM full_),
+    "central_shards": f"""WITH {_SHARDS}, first_ AS (SELECT DISTINCT plan_id, own FROM full_ WHERE cover = 0), skip AS (SELECT DISTINCT f.plan_id, f.shard FROM full_ f JOIN first_ USING (plan_id, own) WHERE f.cover = 1),
+        pos AS (SELECT plan_id, cover, shard, unnest(members) AS tip, unnest(range(len(members))) AS pos FROM full_ WHERE NOT (cover = 1 AND (plan_id, shard) IN (SELECT (plan_id, shard) FROM skip))),
         each AS (SELECT plan_id, cover, tip, shard, CAST(min(pos) AS INT) AS pos FROM pos GROUP BY 1, 2, 3, 4) SELECT * FROM each QUALIFY row_number() OVER (PARTITION BY plan_id, cover, tip ORDER BY pos, shard) <= 3""",
-    "vector_neighbours": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000 + 0.5) AS DOUBLE)) AS v FROM embeddings)
-        SELECT a.vec_id AS query, b.vec_id AS target, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
-        QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.v, b.v) DESC, b.vec_id) <= 10""",
+    "vector_neighbours": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+        SELECT a.vec_id AS query, b.vec_id AS target, list_aggregate(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]), 'fsum') AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id
+        WHERE a.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, target) <= 10""",
     "lineage": """WITH old AS (SELECT p_brand || '/' || p_type AS grp, p_partkey AS input FROM part), new AS (SELECT p_brand || '/' || p_type || CASE WHEN p_size <= 15 THEN '/s' ELSE '/l' END AS grp, p_partkey AS input FROM part),
         n AS (SELECT grp, count(*) AS n FROM new GROUP BY 1), o AS (SELECT grp, count(*) AS n FROM old GROUP BY 1),
         s AS (SELECT new.grp AS n, old.grp AS o, count(*) AS shared FROM new JOIN old USING (input) GROUP BY 1, 2),
@@ -431,7 +467,30 @@ ORACLE = {
         b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY query ORDER BY mean, grp) = 1),
         f AS (SELECT b.*, lv.level FROM b JOIN (SELECT unnest(CAST([0.0, 0.01, 0.02, 0.05] AS DOUBLE[])) AS level) lv ON mean <= level QUALIFY row_number() OVER (PARTITION BY query ORDER BY lv.level) = 1)
         SELECT q.query, f.level, f.grp, f.mean, f.n FROM (SELECT DISTINCT query FROM m) q LEFT JOIN f ON f.query = q.query""",
-    "chunk_contiguous": """WITH p AS (SELECT o_orderkey - min(o_orderkey) OVER () AS place, count(*) OVER () AS total FROM orders)
-        SELECT CAST(((place + 1) * 23 - 1) // total AS INT) AS chunk, min(place) AS first_place, count(*) AS n FROM p GROUP BY 1""",
+    "chunk_contiguous": """WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS place, count(*) OVER () AS total FROM orders)
+        SELECT CAST(((place + 1) * 23 - 1) // total AS INT) AS chunk, arg_min(o_orderkey, place) AS first_order, arg_max(o_orderkey, place) AS last_order, count(*) AS n FROM p GROUP BY 1""",
+    "content_dedup": r"""WITH t AS (SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(replace(text, 'ß', 'SS'), 'ﬀ', 'FF'), 'ﬁ', 'FI'), 'ﬂ', 'FL'), 'ﬃ', 'FFI'), 'ﬄ', 'FFL'), 'ﬅ', 'ST'), 'ﬆ', 'ST') AS text FROM documents WHERE text IS NOT NULL),
+        c AS (SELECT doc_id, upper(regexp_replace(text, '[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\-.]', '', 'g')) AS s FROM t),
+        d AS (SELECT doc_id, s, least(sha256(s), sha256(array_to_string(list_reverse(regexp_extract_all(translate(s, 'ACGTRYSWKMBDHVN', 'TGCAYRSWMKVHDBN'), '(?s).')), ''))) AS input_id FROM c WHERE s <> '')
+        SELECT input_id, arg_min(s, (doc_id, s)) AS seq, count(*) AS n_records FROM d GROUP BY 1""",
+    "minted_ids": f"""WITH m AS (SELECT DISTINCT nullif(upper(trim(group_id, {_BLANK})), '') AS grp, {_TIP('tip_id')} AS tip FROM group_members),
+        h AS (SELECT grp, sha256(tip) AS x FROM m), c AS (SELECT grp, sha256('|' || concat_ws(':', sum(CAST('0x' || substr(x, 1, 12) AS HUGEINT)), sum(CAST('0x' || substr(x, 13, 12) AS HUGEINT)),
+            sum(CAST('0x' || substr(x, 25, 12) AS HUGEINT)), count(*))) AS d FROM h GROUP BY 1), b AS (SELECT grp, CAST('0x' || right(d, 10) AS BIGINT) AS x FROM c),
+        e AS (SELECT grp, array_to_string(list_transform(range(8), lambda k: substr('0123456789ABCDEFGHJKMNPQRSTVWXYZ', CAST(((x >> (5 * k)::INT) & 31) + 1 AS INT), 1)), '') AS t FROM b)
+        SELECT grp, left(t, 4) || '-' || right(t, 4) AS id FROM e""",
+    "average_linkage": f"WITH RECURSIVE {_MERGES} SELECT a, b, height, observed, votes, size_a, size_b FROM merges",
+    "weakest_links": f"WITH RECURSIVE {_MERGES} SELECT a, b, votes AS join_votes, weakest AS weakest_votes FROM merges",
+    "forest_parts": f"""WITH RECURSIVE {_MERGES} SELECT s_suppkey AS part, CAST(coalesce((SELECT max(size_a + size_b) FROM merges m WHERE m.a = s_suppkey), 1) AS BIGINT) AS n
+        FROM supplier WHERE s_suppkey NOT IN (SELECT b FROM merges)""",
+    "cut_groups": f"WITH RECURSIVE {_CUT} SELECT level, tip, grp FROM cut_",
+    "numbered_groups": f"""WITH RECURSIVE {_CUT} SELECT level, grp, row_number() OVER (PARTITION BY level ORDER BY count(*) DESC, min(tip)) - 1 AS number FROM cut_ WHERE grp IS NOT NULL GROUP BY 1, 2""",
+    "formed_nodes": f"""WITH RECURSIVE {_CUT} SELECT grp, n_tips, min(level) AS level_min, max(level) AS level_max
+        FROM (SELECT level, grp, count(*) AS n_tips FROM cut_ WHERE grp IS NOT NULL GROUP BY 1, 2) GROUP BY 1, 2""",
+    "enclosing_groups": f"""WITH RECURSIVE {_CUT}, up AS (SELECT level, lead(level) OVER (ORDER BY level) AS above FROM cl)
+        SELECT DISTINCT c.level, c.grp, p.grp AS parent FROM cut_ c JOIN up ON up.level = c.level LEFT JOIN cut_ p ON p.level = up.above AND p.tip = c.grp WHERE c.grp IS NOT NULL""",
+    "stem_nodes": f"""WITH RECURSIVE {_MERGES}, nd AS (SELECT m.a, m.b, m.height, (SELECT arg_min(u.height, u.step) FROM merges u WHERE u.step > m.step AND m.a IN (u.a, u.b)) AS height_top,
+            m.size_a + m.size_b AS size FROM merges m)
+        SELECT *, greatest(round((ceil(round(height_top, 6) / 0.00005 - 1e-9) - 1) * 0.00005, 6), height) AS measured_at FROM nd WHERE height <= 0.1 AND height_top - height >= 0.0001
+            AND NOT (0.03 >= height AND 0.03 < height_top) AND NOT (0.04 >= height AND 0.04 < height_top)""",
     "large_parts": "SELECT p_brand, p_partkey, p_size FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) <= 3",
 }

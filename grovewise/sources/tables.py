@@ -5,10 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grovewise.functions import records
+
 KNN = T.StructType([T.StructField("query", T.StringType()), T.StructField("target", T.StringType()), T.StructField("identity", T.DoubleType())])
 PLACEMENT_RESULT = T.StructType([
     T.StructField("q", T.StringType()), T.StructField("shard", T.StringType()), T.StructField("joins", T.MapType(T.StringType(), T.DoubleType())),
@@ -40,18 +42,13 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("q").alias("query"), "shard", F.explode("joins").alias("member", "height"))
 
 
-def short_number(c: Column) -> Column:
-    """A double with at most six decimals, without trailing zeros."""
-    return F.when(c.isNotNull(), F.regexp_replace(F.regexp_replace(F.round(c, 6).cast("decimal(30,6)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ""))
-
-
 def write_tsv(df: DataFrame, path: str, columns: list[str]) -> None:
-    """Exactly the named columns, with a header, null as empty (S10, S11); refuses an existing path.
+    """Exactly the named columns, with a header, doubles as ``%.6g``, null as empty (S10, S11); refuses an existing path.
 
     A row needs a value: readers skip a line of nulls only."""
     if set(df.columns) != set(columns):
         raise ValueError(f"columns {df.columns} are not {columns}")
-    shown = [short_number(F.col(c)).alias(c) if df.schema[c].dataType == T.DoubleType() else F.col(c) for c in columns]
+    shown = [records.short_number(F.col(c)).alias(c) if df.schema[c].dataType == T.DoubleType() else F.col(c) for c in columns]
     df.select(*shown).write.csv(path, sep="\t", header=True, nullValue="", emptyValue="")
 
 

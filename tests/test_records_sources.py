@@ -1,5 +1,7 @@
 import datetime as dt
 import hashlib
+import random
+from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,18 +38,45 @@ def test_scalars(spark):
     assert get(records.reverse_complement(lit("ACGTRYSWKMBDHVN"))) == "NBDHVKMWSRYACGT"
     assert get(records.content_id(lit("ACG"))) == min(hashlib.sha256(s).hexdigest() for s in (b"ACG", b"CGT"))
     assert get(records.extract_id(lit("acg"))) == hashlib.sha256(b"ACG").hexdigest()[:16]
-    assert [get(records.span_length(lit(x))) for x in ("45-294", "-", "", "None", None)] == [250, 0, 0, 0, 0]
-    kind = lambda c, *n: get(records.record_class(lit(c), *map(lit, n)))
-    assert [kind("True", 250, 158, 198), kind("False", 250, 158, 198), kind("False", 11, 45, 198), kind("False", 11, 45, 100)] == ["chimeric", "full", "its2", "other"]
+    assert [get(records.span_length(lit(x))) for x in ("3-3", "101-1100", "-", "", "None", None)] == [1, 1000, 0, 0, 0, 0]
     assert [get(records.anchors(lit(a), lit(b))) for a, b in ((1, 1), (0, 3), (0, 0))] == ["SSU+LSU", "LSU", "none"]
     assert get(records.without_size(lit("a;size=3;"))) == "a" and get(records.size_of(lit("a;size=3;"))) == 3
     assert get(records.tips_of_tree(lit("((b:1,a:2):1,c:3);"))) == ["a", "b", "c"]
     assert get(records.tree_input(F.array(lit("m2"), lit("m1")), F.array(lit("x")), F.array(lit("s"), lit("m1")))) == ["m1", "m2", "x", "s"]
-    n, value = int(hashlib.sha256(b"group").hexdigest(), 16) & (1 << 40) - 1, ""
-    for _ in range(8):
-        n, d = divmod(n, 32)
-        value += records.BASE32[d]
-    assert get(records.short_id(lit("group"))) == f"{value[:4]}-{value[4:]}"
+    for digits in (8, 9, 16, 51):
+        n, value = int(hashlib.sha256(b"group").hexdigest(), 16), ""
+        for _ in range(digits):
+            n, d = divmod(n, 32)
+            value += records.BASE32[d]
+        assert get(records.short_id(lit("group"), digits)) == "-".join(value[k : k + 4] for k in range(0, digits, 4))
+    assert get(records.seed_of(lit("a"), lit("b"))) == int(hashlib.sha256(b"a|b").hexdigest()[:15], 16)
+    keys = spark.createDataFrame([("x",), ("10",), ("9",), ("",), ("-3",)], "k string")
+    assert [r[0] for r in keys.orderBy(records.mixed_order(F.col("k"))).collect()] == ["-3", "9", "10", "", "x"]
+
+
+def test_classes_of_records(spark):
+    """Every combination of spans around the bounds."""
+    bounds = {"left": (0, 1), "first": (0, 49, 50, 106, 149, 150), "middle": (139, 140), "second": (0, 49, 50, 99, 100, 128, 149, 150), "right": (0, 30)}
+    rows = list(product(*bounds.values()))
+    df = spark.createDataFrame([(str(k % 5 == 0), *r) for k, r in enumerate(rows)], "chimeric string, " + ", ".join(f"`{c}` int" for c in bounds))
+    got = df.select("*", records.record_class(*(F.col(c) for c in ("chimeric", *bounds))).alias("class")).collect()
+    for r in got:
+        enough = {"first": 50 if r["left"] else 150, "middle": 140, "second": 50 if r["right"] else 150}
+        full = all(r[c] >= n for c, n in enough.items())
+        want = "chimeric" if r["chimeric"] == "True" else "full" if full else "its2" if r["right"] and r["second"] >= 100 else "other"
+        assert r["class"] == want, r
+    assert len({r["class"] for r in got}) == 4
+    null = spark.createDataFrame([(None, None, 160, 150, 160, None)], "c string, l int, f int, m int, s int, r int")
+    assert null.select(records.record_class(*(F.col(c) for c in "clfmsr"))).first()[0] == "full"
+
+
+def test_numbers_as_shown_and_rounded(spark):
+    rng = random.Random(12)
+    values = [0.1, 1.2345e-5, 123456.789, 1e6, 1.0, -0.0, 2.675, 1.000005, 1e-300, float("inf"), *(rng.uniform(-1, 1) * 10 ** rng.randrange(-9, 9) for _ in range(200))]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "x double")
+    got = [tuple(r) for r in df.select("x", records.short_number("x"), records.rounded(F.col("x"), 2)).collect()]
+    assert [g[1] for g in got[: len(values)]] == [f"{v:.6g}" for v in values] and got[-2][1] is None
+    assert [g[2] for g in got[: len(values)]] == [round(v, 2) for v in values] and got[-2][2] is got[-1][2] is None
 
 
 def test_chunks(spark):
@@ -76,27 +105,123 @@ def test_tables(spark, tmp_path):
         tables.read_results(spark, str(tmp_path / "j"))
 
 
-def test_tree_joins():
-    get = lambda n, w, m, r=None: {(i, j): round(v, 6) for i, j, v in trees.joins(n, w, m, r)}
-    fork = get("(a:0.0,b:0.0,c:0.02,d:0.03);", 500, "compatible")
-    assert (fork["a", "b"], fork["a", "c"], fork["c", "d"]) == (0, 0.02, 0.05)
-    fork = get("(a:0.0,b:0.001,c:0.02,d:0.03);", 500, "identical")
-    assert (fork["a", "b"], fork["a", "c"]) == (0.001, 0.05)
-    assert get("((a:0.1,b:0.2):0.1,c:0.3);", 500, "patristic") == {("a", "b"): 0.3, ("a", "c"): 0.5, ("b", "c"): 0.6}
-    rooted = get("(a:0.1,(b:0.1,(c:0.1,d:0.5):0.1):0.1);", 500, "patristic", "midpoint")
-    assert rooted == get("(a:0.1,(b:0.1,(c:0.1,d:0.5):0.1):0.1);", 500, "patristic")
-
-
-def test_verdicts(spark):
-    newick = "(((a:0.01,b:0.01):0.02,c:0.03):0.1,(d:0.01,e:0.01):0.1);"
-    df = spark.createDataFrame([("s", newick, 500)], "shard string, newick string, width int")
-    assert trees.tree_votes(df).count() == 10
-    groups = {"ab": "ab", "abc": "abc", "bc": "bc", "ad": "ad", "all": "abcde"}
-    g = spark.createDataFrame([(t, k) for k, v in groups.items() for t in v], "tip string, grp string")
-    tips = spark.createDataFrame([("s", t) for t in "abcde"], "shard string, tip string")
-    got = {r["grp"]: (r["verdict"], r["stem"]) for r in trees.verdicts(trees.clades(df), tips, g).collect()}
-    assert {k: v[0] for k, v in got.items()} == {"ab": "clade", "abc": "clade", "bc": "conflict", "ad": "conflict", "all": "whole"}
-    assert abs(got["ab"][1] - 10) < 1e-9
+def random_tree(rng, names):
+    """Nested (children, length) with some short and some zero branches."""
+    parts = [(n, rng.choice([0.0, 0.001, rng.random() / 20])) for n in names]
+    while len(parts) > 1:
+        k = min(len(parts), rng.choice([2, 2, 3]))
+        parts = [*parts[k:], (parts[:k], rng.choice([0.0, 0.0004, rng.random() / 20]))] if k < len(parts) else [(parts, 0.0)]
+        rng.shuffle(parts)
+    return parts[0]
+
+
+def newick(node, top=True):
+    inner, length = node
+    text = inner if isinstance(inner, str) else "(" + ",".join(newick(c, False) for c in inner) + ")"
+    return text + (";" if top else f":{length!r}")
+
+
+def leaves(node, far=0.0):
+    inner, length = node
+    return {inner: far + length} if isinstance(inner, str) else {k: v for c in inner for k, v in leaves(c, far + length).items()}
+
+
+def collapsed(node, least):
+    """Inner branches below ``least`` go; their length goes to the branches below."""
+    inner, length = node
+    if isinstance(inner, str):
+        return node
+    out = []
+    for c in inner:
+        if not isinstance(c[0], str) and c[1] < least:
+            c = ([(x, d + c[1]) for x, d in c[0]], 0.0)
+            out += [collapsed(x, least) for x in c[0]] if not any(not isinstance(x[0], str) and x[1] < least for x in c[0]) else collapsed((c[0], 0.0), least)[0]
+        else:
+            out.append(collapsed(c, least))
+    return out, length
+
+
+def diameter(node):
+    """The greatest path between two leaves below a node."""
+    if isinstance(node[0], str):
+        return 0.0
+    return max((x for x, _, _ in across(node)), default=0.0)
+
+
+def across(node):
+    """(path, leaf, leaf) of all pairs below a node, by brute force."""
+    inner = node[0]
+    if isinstance(inner, str):
+        return []
+    out = [x for c in inner for x in across(c)]
+    for a in range(len(inner)):
+        for b in range(a + 1, len(inner)):
+            out += [(x + y, *sorted((i, j))) for i, x in leaves(inner[a]).items() for j, y in leaves(inner[b]).items()]
+    return out
+
+
+def joined(node, width, mode):
+    inner, out = node[0], {}
+    if isinstance(inner, str):
+        return out
+    for a in range(len(inner)):
+        out |= joined(inner[a], width, mode)
+        for b in range(a + 1, len(inner)):
+            x, y = leaves(inner[a]), leaves(inner[b])
+            own = max(diameter(inner[a]), diameter(inner[b]), max(x.values()) + max(y.values()))
+            whole = diameter(node)
+            height = 2 * max(leaves((inner, 0.0)).values())
+            level = {"compatible": own, "identical": own if own <= 1 / width else whole, "height": height, "diameter": whole}.get(mode)
+            out |= {tuple(sorted((i, j))): level if level is not None else p + q for i, p in x.items() for j, q in y.items()}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_joins_of_random_trees(seed):
+    rng = random.Random(seed)
+    tree = random_tree(rng, [f"t{k}" for k in range(9)])
+    for mode in ("identical", "compatible", "patristic", "height", "diameter"):
+        got = {(i, j): v for i, j, v in trees.joins(newick(tree), 400, mode, None)}
+        want = joined(collapsed(tree, 0.5 / 400), 400, mode)
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want), mode
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_midpoint_keeps_distances(seed):
+    rng = random.Random(seed)
+    tree = random_tree(rng, [f"t{k}" for k in range(8)])
+    plain = {tuple(sorted((i, j))): x for x, i, j in across(tree)}
+    rooted = trees.joins(newick(tree), 1e9, "patristic", "midpoint")
+    assert len(rooted) == len(plain) and all(abs(plain[i, j] - v) < 1e-9 for i, j, v in rooted)
+    longest = max(plain.values())
+    assert abs(max(v for *_, v in trees.joins(newick(tree), 1e9, "height", "midpoint")) - longest) < 1e-9
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_verdicts_of_random_groups(spark, seed):
+    rng = random.Random(seed + 40)
+    names = [f"t{k}" for k in range(10)]
+    tree = random_tree(rng, names)
+    df = spark.createDataFrame([("s", newick(tree), 200)], "shard string, newick string, width int")
+    below, todo = [], [tree]
+    while todo:
+        inner, length = todo.pop()
+        if not isinstance(inner, str):
+            todo += inner
+            if inner is not tree[0]:
+                below.append((set(leaves((inner, 0.0))), length))
+    groups = {f"g{k}": set(rng.sample([*names, "away"], rng.randrange(1, 8))) for k in range(12)} | {"all": set(names)} | {f"c{k}": s for k, (s, _) in enumerate(below)}
+    want = {}
+    for g, tips in groups.items():
+        held = tips & set(names)
+        if len(held) > 1:
+            stems = [length * 200 for s, length in below if s == held]
+            broken = any(s & held and held - s and s - held for s, _ in below)
+            want[g] = ("whole", None) if held == set(names) else ("clade", max(stems)) if stems else ("conflict" if broken else "unresolved", None)
+    pairs = spark.createDataFrame([(t, g) for g, tips in groups.items() for t in tips], "tip string, grp string")
+    got = {r["grp"]: r for r in trees.verdicts(trees.clades(df), spark.createDataFrame([("s", t) for t in names], "shard string, tip string"), pairs).collect()}
+    assert {g: r["verdict"] for g, r in got.items()} == {g: v for g, (v, _) in want.items()}
+    assert all(abs(got[g]["stem"] - stem) < 1e-9 for g, (_, stem) in want.items() if stem is not None)
 
 
 def test_cache(spark):

@@ -1,44 +1,130 @@
-from grovewise.operators import votes
+"""Evidence of groups against a plain computation over random votes."""
 
+import random
+from collections import defaultdict
+from itertools import combinations
+from statistics import median
 
-def near(x, y):
-    return abs(x - y) < 1e-6
+import pytest
 
+from grovewise.operators import numbering, votes
 
-def test_consensus_and_hits(spark):
-    data = [(0, 1, 0.01), (0, 1, 0.02), (0, 1, 0.09), (0, 5, 0.2), (0, 7, 0.01), (0, 7, 0.01)]
-    df = spark.createDataFrame(data, "i int, j int, v float")
-    got = {r["j"]: (r["hits"], r["votes"], r["med"]) for r in votes.consensus(df, [0.05]).collect()}
-    assert {j: g[:2] for j, g in got.items()} == {1: ([2], 3), 5: ([0], 1), 7: ([2], 2)}
-    assert near(got[1][2], 0.02) and near(got[7][2], 0.01)
+LEVELS = [0.1, 0.3]
 
 
-def test_evidence_of_groups(spark):
-    data = [(0, 1, 10, 10), (0, 2, 1, 10), (1, 2, 10, 10), (0, 3, 1, 1), (0, 4, 0, 9), (2, 5, 0, 4), (3, 4, 5, 5)]
-    pairs = spark.createDataFrame([(i, j, 0.1, h, v) for i, j, h, v in data], "i int, j int, level double, hits long, votes long")
-    group_of = spark.createDataFrame([(0.1, t, g) for t, g in ((0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, None))], "level double, tip int, grp int")
-    grouped = votes.with_groups(pairs, group_of)
-    member = {r["tip"]: r for r in votes.membership(grouped).collect()}
-    assert near(member[0]["membership"], 11 / 20) and member[0]["partners"] == 2
-    inner = {r["grp"]: r for r in votes.cohesion(grouped, group_of).collect()}
-    assert near(inner[0]["cohesion"], 21 / 30) and inner[0]["pairs"] == 3 and inner[0]["held"] == 1
-    pull = {r["tip"]: r for r in votes.tip_pull(grouped).collect()}
-    assert near(pull[0]["pull"], 0.1) and pull[0]["target"] == "1" and pull[0]["votes"] == 10 and pull[0]["partners"] == 2
-    assert pull[2]["target_kind"] == pull[5]["target_kind"] == "nothing_joins" and 1 not in pull
+def drawn(seed, tips=14, groups=4):
+    """Votes on random pairs in eighths (exact in FLOAT), and a random grouping for each level; 9 tips or more in groups."""
+    rng = random.Random(seed)
+    rows = [(*sorted(rng.sample(range(tips), 2)), rng.randrange(7) / 8) for _ in range(160)]
+    group_of = {(x, t): rng.choice([None, *range(9, 9 + groups)] if t > 3 else [9, 10]) for x in LEVELS for t in range(tips)}
+    return rows, group_of
 
 
-def test_group_pull_pools_votes(spark):
-    pulls = spark.createDataFrame([(0.1, 0, 3, 3), (0.1, 0, 10, 100), (0.1, 1, 0, 4)], "level double, grp int, hits long, votes long")
-    got = {r["grp"]: r["pull"] for r in votes.group_pull(pulls).collect()}
-    assert near(got[0], 13 / 103) and got[1] == 0
+def pooled(rows, x):
+    """(hits, votes) of each pair at a level."""
+    by = defaultdict(list)
+    for i, j, v in rows:
+        by[i, j].append(v)
+    return {p: (sum(v <= x for v in vs), len(vs)) for p, vs in by.items()}
 
 
-def test_separation(spark):
-    d = [(0, 1, 0.01), (0, 2, 0.02), (1, 2, 0.01), (0, 3, 0.05), (2, 5, 0.03), (1, 6, 0.06)]
-    pairs = spark.createDataFrame(d, "i int, j int, d double")
-    g = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, None), (6, 2)], "tip int, grp int")
-    got = {r["grp"]: r for r in votes.separation(pairs, g).collect()}[0]
-    assert (got["spread"], got["pairs"], got["nearest"], got["nearest_distance"], got["second"], got["second_distance"], got["strays_closer"]) == (0.02, 3, 1, 0.05, 2, 0.06, 1)
+def tables(spark, rows, group_of):
+    given = spark.createDataFrame(rows, "i int, j int, v float").repartition(3)
+    groups = spark.createDataFrame([(x, t, g) for (x, t), g in group_of.items()], "level double, tip int, grp int")
+    return votes.consensus(given, LEVELS), groups
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_consensus(spark, seed):
+    rows, group_of = drawn(seed)
+    found = tables(spark, rows, group_of)[0].collect()
+    by = defaultdict(list)
+    for i, j, v in rows:
+        by[i, j].append(v)
+    assert {(r["i"], r["j"]): (r["med"], r["votes"], r["hits"]) for r in found} == {p: (median(v), len(v), [sum(x <= y for x in v) for y in LEVELS]) for p, v in by.items()}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_evidence(spark, seed):
+    rows, group_of = drawn(seed)
+    pairs, groups = tables(spark, rows, group_of)
+    grouped = votes.with_groups(votes.at_levels(pairs, LEVELS), groups)
+    member, inner, pull, group_pull = {}, {}, {}, {}
+    for x in LEVELS:
+        of = {t: g for (y, t), g in group_of.items() if y == x}
+        seen = pooled(rows, x)
+        own = defaultdict(lambda: [0, 0, 0])
+        whole = defaultdict(lambda: [0, 0, 0])
+        outside = defaultdict(lambda: defaultdict(lambda: [0, 0, 0]))
+        for (i, j), (h, v) in seen.items():
+            same = of[i] is not None and of[i] == of[j]
+            for a, b in ((i, j), (j, i)):
+                target = (0, of[b]) if of[b] is not None else (1, b)
+                cell = own[a] if same else outside[a][target]
+                for k, n in enumerate((h, v, 1)):
+                    cell[k] += n
+            if same:
+                for k, n in enumerate((h, v, 1)):
+                    whole[of[i]][k] += n
+        member |= {(x, t): (h / v, v, n) for t, (h, v, n) in own.items()}
+        sizes = {g: sum(y == g for y in of.values()) for g in of.values() if g is not None}
+        inner |= {(x, g): (whole[g][0] / whole[g][1] if whole[g][1] else None, *whole[g][1:], whole[g][2] / (n * (n - 1) / 2)) for g, n in sizes.items() if n > 1}
+        for t, targets in outside.items():
+            best = min(targets, key=lambda k: (-targets[k][0] / targets[k][1], -targets[k][1], k))
+            h, v, n = targets[best]
+            every = [sum(c[k] for c in targets.values()) for k in range(3)]
+            pull[x, t] = (h / v, ("group", "tip")[best[0]], str(best[1]), h, v, n) if h else (0.0, "nothing_joins", None, 0, *every[1:])
+        for g in sizes:
+            got = [pull[x, t][3:5] for t, y in of.items() if y == g and (x, t) in pull]
+            if got:
+                group_pull[x, g] = sum(h for h, _ in got) / sum(v for _, v in got)
+    assert {(r["level"], r["tip"]): (r["membership"], r["votes"], r["partners"]) for r in votes.membership(grouped).collect()} == member
+    assert {(r["level"], r["grp"]): (r["cohesion"], r["votes"], r["pairs"], r["held"]) for r in votes.cohesion(grouped, groups).collect()} == inner
+    pulls = votes.tip_pull(grouped)
+    assert {(r["level"], r["tip"]): (r["pull"], r["target_kind"], r["target"], r["hits"], r["votes"], r["partners"]) for r in pulls.collect()} == pull
+    assert {(r["level"], r["grp"]): r["pull"] for r in votes.group_pull(pulls).collect()} == group_pull
+
+
+def test_numbers_break_ties_as_numbers(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.5, 1, 2), (1, 3, 0.5, 1, 2)], "i int, j int, level double, hits long, votes long")
+    groups = spark.createDataFrame([(0.5, 1, 4), (0.5, 2, 10), (0.5, 3, 9)], "level double, tip int, grp int")
+    best = {r["tip"]: r["target"] for r in votes.tip_pull(votes.with_groups(pairs, groups)).collect()}
+    assert best == {1: "9", 2: "4", 3: "4"}
+
+
+@pytest.mark.parametrize("seed", [5, 6, 7])
+def test_separation(spark, seed):
+    rng = random.Random(seed)
+    of = {t: rng.choice([None, 20, 3, 11]) for t in range(15)}
+    d = {p: rng.randrange(1, 6) / 4 for p in combinations(range(15), 2) if rng.random() < 0.6}
+    pairs = spark.createDataFrame([(i, j, x) for (i, j), x in d.items()], "i int, j int, d double").repartition(3)
+    got = votes.separation(pairs, spark.createDataFrame(list(of.items()), "tip int, grp int")).collect()
+    assert {r["grp"] for r in got} == set(of.values()) - {None}
+    for r in got:
+        g = r["grp"]
+        inside = [x for (i, j), x in d.items() if of[i] == of[j] == g]
+        across = sorted((x, b) for (i, j), x in d.items() for a, b in ((i, j), (j, i)) if of[a] == g != of[b])
+        assert (r["spread"], r["spread_median"], r["pairs"]) == ((max(inside), median(inside), len(inside)) if inside else (None, None, 0))
+        relatives = {}
+        for x, b in across:
+            if of[b] is not None:
+                relatives.setdefault(of[b], (x, b))
+        near = [(*v, k) for k, v in sorted(relatives.items(), key=lambda kv: kv[1])[:2]] + [(None,) * 3] * 2
+        assert (r["nearest_distance"], r["nearest_tip"], r["nearest"]) == near[0] and (r["second_distance"], r["second_tip"], r["second"]) == near[1]
+        loose = [(x, b) for x, b in across if of[b] is None]
+        assert (r["stray_distance"], r["stray"]) == (loose[0] if loose else (None, None))
+        assert r["strays_closer"] == len({b for x, b in loose if near[0][0] is None or x < near[0][0]})
+
+
+def test_numbering(spark):
+    rng = random.Random(9)
+    values = [(rng.randrange(40), k, "x") for k in range(300)]
+    df = spark.createDataFrame(values, "a int, b int, place_of string").repartition(7)
+    got = sorted((r["place"], r["a"], r["b"]) for r in numbering.numbered(df, ["a", "b"], descending=("a",)).collect())
+    assert got == [(k, a, b) for k, (a, b, _) in enumerate(sorted(values, key=lambda v: (-v[0], v[1])))]
+    assert numbering.numbered(df.limit(0), ["a"]).count() == 0
+    of = spark.createDataFrame([(0.1, t, g) for t, g in ((1, "b"), (2, "a"), (3, "b"), (4, None), (5, "c"), (0, "c"))] + [(0.2, 1, "z")], "level double, tip int, grp string")
+    assert {(r["level"], r["grp"]): r["number"] for r in numbering.groups_by_size(of).collect()} == {(0.1, "c"): 0, (0.1, "b"): 1, (0.1, "a"): 2, (0.2, "z"): 0}
 
 
 def test_empty(spark):
