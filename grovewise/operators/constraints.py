@@ -66,3 +66,32 @@ def nested(levels: DataFrame) -> None:
 def within_one(rows: DataFrame, inner: str, outer: str) -> None:
     """Each unit lies in one component."""
     refuse(rows.groupBy(inner).agg(F.min(outer).alias("a"), F.max(outer).alias("b")).filter(F.col("a") != F.col("b")), f"a {inner} spans more than one {outer}")
+
+
+def fresh(products: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted products that are not there yet; stale ones are refused.
+
+    ``wanted(product, key, tips)`` and ``products(product, key, tips)``, tips as sorted arrays. A product that is
+    there without a key, with another key or with other tips was made from something else: nothing is reused
+    or overwritten, the first five are named. Null ``tips`` in ``wanted`` are not compared.
+    """
+    there = products.select("product", F.col("key").alias("made_of"), F.col("tips").alias("made_tips"), F.lit(True).alias("there"))
+    both = wanted.join(there, "product", "left")
+    found = both.filter(F.col("there"))
+    refuse(found.filter(F.col("made_of").isNull()).select("product"), "products without a key")
+    refuse(found.filter(F.col("made_of") != F.col("key")).select("product", "made_of", "key"), "products made from other inputs or settings")
+    refuse(found.filter(F.col("tips").isNotNull() & ~F.col("tips").eqNullSafe(F.col("made_tips"))).select("product"), "products with other tips than asked for")
+    return both.filter(F.col("there").isNull()).select(*wanted.columns)
+
+
+def single_units(top_groups: DataFrame, unit_of: DataFrame, component_of: DataFrame) -> None:
+    """Every unit is one group at the top of its component or a lone tip, and lies in one component.
+
+    ``top_groups(tip, grp)``, ``unit_of(tip, unit)``, ``component_of(tip, component)``; every tip needs a unit."""
+    each = component_of.join(unit_of, "tip", "left").join(top_groups.filter(F.col("grp").isNotNull()), "tip", "left")
+    refuse(each.filter(F.col("unit").isNull()).select("tip"), "tips without a unit")
+    within_one(each, "unit", "component")
+    units = each.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("grp").alias("groups"), F.count("grp").alias("grouped"), F.min("grp").alias("grp"))
+    refuse(units.filter(~((F.col("groups") == 1) & (F.col("grouped") == F.col("n"))) & ~((F.col("n") == 1) & (F.col("grouped") == 0))).select("unit"), "units that are no group")
+    sizes = top_groups.filter(F.col("grp").isNotNull()).groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+    refuse(units.filter(F.col("grouped") > 0).join(sizes, "grp").filter(F.col("size") != F.col("n")).select("unit"), "units that are part of a group")

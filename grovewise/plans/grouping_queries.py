@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovewise.functions import ids, records
-from grovewise.operators import covers, graph, layers, linkage, numbering, placement, votes
+from grovewise.operators import build, covers, graph, layers, linkage, numbering, placement, votes
 from grovewise.operators import lineage as lines
 from grovewise.operators.dereplicate import dereplicate, summary
 from grovewise.operators.hotkeys import top_per_key
@@ -289,6 +289,41 @@ def enclosing_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.enclosing(Scratch(spark).keep(cut_groups(spark, sf_dir)), CUTS)
 
 
+_BUILT: dict[str, list[float]] = {"fine": CUTS, "coarse": [0.05, 0.06]}
+
+
+def _built(spark: SparkSession, sf_dir: str) -> build.Built:
+    tips = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tip"))
+    return build.build(_votes(spark, sf_dir), tips, _BUILT["fine"], floor=0.001, least_stem=0.0001, grid=0.00005)
+
+
+def build_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole build: groups of suppliers at each level with number, evidence and parent."""
+    return _built(spark, sf_dir).levels
+
+
+def build_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole build: every supplier at each level with its group, membership and pull."""
+    return _built(spark, sf_dir).tips
+
+
+def build_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole build: groups over runs of levels with spread, relatives and gap."""
+    return _built(spark, sf_dir).nodes
+
+
+def layer_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of a layer over the nations (and suppliers without one), in terms of suppliers, with their spread."""
+    fine = Scratch(spark).keep(_group_of(spark, sf_dir).filter(F.col("level") == 0.0))
+    unit_of = layers.units(fine)
+    given = _votes(spark, sf_dir)
+    layer = build.build(layers.unit_votes(given, unit_of), unit_of.select(F.col("unit").alias("tip")), _BUILT["coarse"], least_votes=3)
+    names = fine.filter(F.col("grp").isNotNull()).groupBy("grp").agg(F.min("tip").alias("name"))
+    cuts, groups, _ = build.appended(fine.join(names, "grp", "left").select("level", "tip", F.col("name").alias("grp")), unit_of, layer)
+    pairs = votes.consensus(given, LEVELS).select("i", "j", F.col("med").alias("d"))
+    return groups.join(build.coarse_spread(pairs, cuts), ["level", "grp"], "left")
+
+
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = table(spark, sf_dir, "group_members")
     return members.select(ids.group_id(F.col("group_id")).alias("grp"), ids.tip_id(F.col("tip_id")).alias("tip")).distinct()
@@ -330,7 +365,7 @@ QUERIES = {f.__name__: f for f in (
     content_dedup, input_summary, pair_consensus, votes_at_levels, membership, cohesion_held, tip_pull, group_margin, level_summary, separation, unit_pairs,
     knn_top, component_anchors, outgroups_top8, scaffold_top, coverage_account, twin_shards, distinct_shards, central_shards, hash_cover, sparse_plan,
     vector_neighbours, lineage, minted_ids, adjusted_rand, candidate_status, status_counts, assigned, chunk_contiguous, average_linkage, cut_groups,
-    stem_nodes, weakest_links, forest_parts, numbered_groups, formed_nodes, enclosing_groups, group_identities, unit_neighbours, unit_cover, context_units, large_parts,
+    stem_nodes, weakest_links, forest_parts, numbered_groups, build_levels, build_tips, build_nodes, layer_levels, formed_nodes, enclosing_groups, group_identities, unit_neighbours, unit_cover, context_units, large_parts,
 )}
 
 _VOTES = """base AS (SELECT l_orderkey AS shard, l_suppkey AS tip, min(l_discount) AS x FROM lineitem GROUP BY 1, 2),
@@ -365,6 +400,27 @@ loose AS (SELECT grp, ot, d FROM out_ WHERE og IS NULL),
 stray AS (SELECT o.grp, count(DISTINCT o.ot) AS n FROM loose o LEFT JOIN near n ON n.grp = o.grp AND r = 1 WHERE n.d IS NULL OR o.d < n.d GROUP BY 1),
 first_stray AS (SELECT * FROM loose QUALIFY row_number() OVER (PARTITION BY grp ORDER BY d, ot) = 1)"""
 
+# evidence at the levels of the cuts; ties by the smaller name, as in _VOTES
+_BUILD_TAIL = """,
+bhit AS (SELECT i, j, level, CAST(len(list_filter(vs, lambda x: x <= CAST(level AS FLOAT))) AS BIGINT) AS hits, votes FROM pair, cl),
+bboth AS (SELECT h.*, a.grp AS gi, b.grp AS gj FROM bhit h JOIN cut_ a ON a.tip = i AND a.level = h.level JOIN cut_ b ON b.tip = j AND b.level = h.level),
+bdist AS (SELECT b.*, m.med FROM bboth b JOIN med m ON m.i = b.i AND m.j = b.j),
+bend AS (SELECT level, hits, votes, i AS tip, gi AS grp, j AS other, gj AS og FROM bboth UNION ALL SELECT level, hits, votes, j, gj, i, gi FROM bboth),
+bpool AS (SELECT level, tip, grp, CASE WHEN og IS NULL THEN 1 ELSE 0 END AS kind, og, CASE WHEN og IS NULL THEN other END AS ot, sum(hits) AS h, sum(votes) AS v, count(*) AS n
+    FROM bend WHERE grp IS NULL OR og IS NULL OR grp <> og GROUP BY ALL),
+btot AS (SELECT level, tip, sum(v) AS all_v FROM bpool GROUP BY 1, 2),
+btop AS (SELECT * FROM bpool QUALIFY row_number() OVER (PARTITION BY level, tip ORDER BY h / v DESC, v DESC, kind, og, ot) = 1),
+bpull AS (SELECT p.level, p.tip, p.grp, CASE WHEN h > 0 THEN h / v ELSE 0.0::DOUBLE END AS pull, CASE WHEN h = 0 THEN 'nothing_joins' WHEN kind = 0 THEN 'group' ELSE 'tip' END AS target_kind,
+    CASE WHEN h > 0 THEN coalesce(CAST(og AS VARCHAR), CAST(ot AS VARCHAR)) END AS target, CAST(h AS BIGINT) AS hits, CAST(CASE WHEN h > 0 THEN v ELSE all_v END AS BIGINT) AS votes
+    FROM btop p JOIN btot t ON t.level = p.level AND t.tip = p.tip),
+bgp AS (SELECT level, grp, sum(hits) / nullif(sum(votes), 0) AS pull FROM bpull WHERE grp IS NOT NULL GROUP BY 1, 2),
+bsize AS (SELECT level, grp, count(*) AS n_tips, row_number() OVER (PARTITION BY level ORDER BY count(*) DESC, min(tip)) - 1 AS number FROM cut_ WHERE grp IS NOT NULL GROUP BY 1, 2),
+bcoh AS (SELECT level, gi AS grp, sum(hits) / sum(votes) AS cohesion, sum(votes) AS votes, count(*) AS pairs FROM bboth WHERE gi = gj GROUP BY 1, 2),
+bup AS (SELECT level, lead(level) OVER (ORDER BY level) AS above FROM cl),
+blevel AS (SELECT s.level, s.grp, s.n_tips, s.number, CAST(printf('%.3f', cohesion) AS DOUBLE) AS cohesion, CAST(coalesce(votes, 0) AS BIGINT) AS votes, CAST(printf('%.3f', coalesce(g.pull, 0)) AS DOUBLE) AS pull,
+    CAST(printf('%.3f', CAST(printf('%.3f', cohesion) AS DOUBLE) - coalesce(g.pull, 0)) AS DOUBLE) AS margin, CAST(printf('%.3f', coalesce(pairs, 0) / (n_tips * (n_tips - 1) / 2)) AS DOUBLE) AS held, p.grp AS parent
+    FROM bsize s LEFT JOIN bcoh c ON c.level = s.level AND c.grp = s.grp LEFT JOIN bgp g ON g.level = s.level AND g.grp = s.grp JOIN bup u ON u.level = s.level
+    LEFT JOIN cut_ p ON p.level = u.above AND p.tip = s.grp)"""
 # one merge a step, of the pair of clusters with the least mean (the names break ties)
 _MERGES = _VOTES + """,
 st AS (SELECT 0 AS step, i AS a, j AS b, CAST(round(CAST(med AS DOUBLE) * 1099511627776) AS HUGEINT) AS s, CAST(1 AS HUGEINT) AS n, CAST(votes AS HUGEINT) AS w,
@@ -383,6 +439,7 @@ cl AS (SELECT unnest(CAST([0.02, 0.03, 0.04] AS DOUBLE[])) AS level),
 climb AS (SELECT level, s_suppkey AS tip, s_suppkey AS at_ FROM supplier, cl UNION ALL SELECT c.level, c.tip, m.a FROM climb c JOIN merges m ON m.b = c.at_ AND m.height <= c.level),
 root AS (SELECT level, tip, min(at_) AS root FROM climb GROUP BY 1, 2),
 cut_ AS (SELECT level, tip, CASE WHEN count(*) OVER (PARTITION BY level, root) > 1 THEN root END AS grp FROM root)"""
+_BUILD = _CUT + _BUILD_TAIL
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(12288)"
 _TIP = lambda x: f"nullif(nullif(trim(regexp_replace(lower(trim({x}, {_BLANK})), ';size=[0-9]+;?$', ''), {_BLANK}), ''), '*')"
 _HITS = f"""named AS (SELECT {_TIP('query')} AS query, {_TIP('target')} AS target, CASE WHEN identity <= 1 THEN identity * 100 ELSE identity END AS identity FROM knn),
@@ -414,7 +471,7 @@ ORACLE = {
     "membership": f"WITH {_VOTES} SELECT level, tip, grp, sum(hits) / sum(votes) AS membership, CAST(sum(votes) AS BIGINT) AS votes, count(*) AS partners FROM ends WHERE grp = og GROUP BY 1, 2, 3",
     "cohesion_held": f"WITH {_VOTES} SELECT * FROM inner_",
     "tip_pull": f"WITH {_VOTES} SELECT * FROM pull",
-    "group_margin": f"WITH {_VOTES} SELECT i.level, i.grp, cohesion, coalesce(p.pull, 0) AS pull, round_even(round_even(cohesion, 3) - coalesce(p.pull, 0), 3) AS margin FROM inner_ i LEFT JOIN gpull p ON p.level = i.level AND p.grp = i.grp",
+    "group_margin": f"WITH {_VOTES} SELECT i.level, i.grp, cohesion, coalesce(p.pull, 0) AS pull, CAST(printf('%.3f', CAST(printf('%.3f', cohesion) AS DOUBLE) - coalesce(p.pull, 0)) AS DOUBLE) AS margin FROM inner_ i LEFT JOIN gpull p ON p.level = i.level AND p.grp = i.grp",
     "level_summary": f"WITH {_VOTES} SELECT level, count(*) AS groups, CAST(sum(n_tips) AS BIGINT) AS tips_in_groups, max(n_tips) AS largest, quantile_cont(held, 0.1) AS held_10 FROM inner_ GROUP BY 1",
     "separation": f"""WITH {_VOTES} SELECT s.grp, i.spread, i.spread_median, coalesce(i.pairs, 0) AS pairs, a.og AS nearest, a.ot AS nearest_tip, a.d AS nearest_distance,
             b.og AS second, b.ot AS second_tip, b.d AS second_distance, f.ot AS stray, f.d AS stray_distance, coalesce(t.n, 0) AS strays_closer
@@ -482,6 +539,21 @@ ORACLE = {
     "weakest_links": f"WITH RECURSIVE {_MERGES} SELECT a, b, votes AS join_votes, weakest AS weakest_votes FROM merges",
     "forest_parts": f"""WITH RECURSIVE {_MERGES} SELECT s_suppkey AS part, CAST(coalesce((SELECT max(size_a + size_b) FROM merges m WHERE m.a = s_suppkey), 1) AS BIGINT) AS n
         FROM supplier WHERE s_suppkey NOT IN (SELECT b FROM merges)""",
+    "build_levels": f"WITH RECURSIVE {_BUILD} SELECT * FROM blevel",
+    "build_tips": f"""WITH RECURSIVE {_BUILD}, own AS (SELECT level, tip, CAST(printf('%.3f', sum(hits) / sum(votes)) AS DOUBLE) AS membership, sum(votes) AS votes, count(*) AS partners FROM bend WHERE grp = og GROUP BY 1, 2)
+        SELECT c.level, c.tip, c.grp, o.membership, CAST(coalesce(o.votes, 0) AS BIGINT) AS votes, coalesce(o.partners, 0) AS partners, CAST(printf('%.3f', p.pull) AS DOUBLE) AS pull, p.target_kind, p.target, p.votes AS pull_votes
+        FROM cut_ c LEFT JOIN own o ON o.level = c.level AND o.tip = c.tip LEFT JOIN bpull p ON p.level = c.level AND p.tip = c.tip""",
+    "build_nodes": f"""WITH RECURSIVE {_BUILD}, nd AS (SELECT grp, n_tips, min(level) AS level_min, max(level) AS level_max FROM (SELECT level, grp, count(*) AS n_tips FROM cut_ WHERE grp IS NOT NULL GROUP BY 1, 2) GROUP BY 1, 2),
+        e AS (SELECT level, i AS tip, gi AS grp, j AS ot, gj AS og, med AS d FROM bdist UNION ALL SELECT level, j, gj, i, gi, med FROM bdist),
+        ins AS (SELECT level, grp, max(d) AS spread, median(CAST(d AS DOUBLE)) AS spread_median, count(*) // 2 AS pairs FROM e WHERE grp = og GROUP BY 1, 2),
+        ext AS (SELECT * FROM e WHERE grp IS NOT NULL AND grp IS DISTINCT FROM og),
+        cl1 AS (SELECT * FROM ext WHERE og IS NOT NULL QUALIFY row_number() OVER (PARTITION BY level, grp, og ORDER BY d, ot) = 1), cl2 AS (SELECT *, row_number() OVER (PARTITION BY level, grp ORDER BY d, ot) AS r FROM cl1),
+        ls AS (SELECT * FROM ext WHERE og IS NULL), l1 AS (SELECT * FROM ls QUALIFY row_number() OVER (PARTITION BY level, grp ORDER BY d, ot) = 1),
+        lc AS (SELECT l.level, l.grp, count(DISTINCT l.ot) AS n FROM ls l LEFT JOIN cl2 c ON c.level = l.level AND c.grp = l.grp AND c.r = 1 WHERE c.d IS NULL OR l.d < c.d GROUP BY 1, 2)
+        SELECT n.*, i.spread, i.spread_median, coalesce(i.pairs, 0) AS pairs, a.og AS nearest, a.ot AS nearest_tip, a.d AS nearest_distance, b.og AS second, b.ot AS second_tip, b.d AS second_distance,
+            f.ot AS stray, f.d AS stray_distance, coalesce(t.n, 0) AS strays_closer, CAST(a.d AS DOUBLE) / greatest(coalesce(CAST(i.spread AS DOUBLE), 0), 0.001) AS gap
+        FROM nd n LEFT JOIN ins i ON i.level = level_max AND i.grp = n.grp LEFT JOIN cl2 a ON a.level = level_max AND a.grp = n.grp AND a.r = 1 LEFT JOIN cl2 b ON b.level = level_max AND b.grp = n.grp AND b.r = 2
+        LEFT JOIN l1 f ON f.level = level_max AND f.grp = n.grp LEFT JOIN lc t ON t.level = level_max AND t.grp = n.grp""",
     "cut_groups": f"WITH RECURSIVE {_CUT} SELECT level, tip, grp FROM cut_",
     "numbered_groups": f"""WITH RECURSIVE {_CUT} SELECT level, grp, row_number() OVER (PARTITION BY level ORDER BY count(*) DESC, min(tip)) - 1 AS number FROM cut_ WHERE grp IS NOT NULL GROUP BY 1, 2""",
     "formed_nodes": f"""WITH RECURSIVE {_CUT} SELECT grp, n_tips, min(level) AS level_min, max(level) AS level_max
