@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grovewise.functions import records
+
 
 def candidates(hits: DataFrame, home: DataFrame, queries: DataFrame, built: DataFrame) -> DataFrame:
     """Best reference of each query, its component, and what can be done with it.
@@ -47,6 +49,48 @@ def assigned(joins: DataFrame, group_at: DataFrame) -> DataFrame:
     return joins.select("query").distinct().join(within, "query", "left").select("query", F.col("f.level").alias("level"), F.col("f.b.grp").alias("grp"), F.col("f.b.mean").alias("mean"), F.col("f.b.n").alias("n"))
 
 
+def ancestors(group_at: DataFrame) -> DataFrame:
+    """``level``, ``grp``, ``above``, ``up``: the one group that holds all members of a group at a coarser level, null for none.
+
+    ``group_at(level, member, grp)`` with rows for ungrouped members too."""
+    own = group_at.filter(F.col("grp").isNotNull()).select("level", "grp", "member")
+    later = group_at.select(F.col("level").alias("above"), "member", F.col("grp").alias("up"))
+    pairs = own.join(later, "member").filter(F.col("above") >= F.col("level"))
+    lost = F.max(F.col("up").isNull())
+    told = pairs.groupBy("level", "grp", "above").agg(F.min("up").alias("up"), (F.min("up").eqNullSafe(F.max("up")) & ~lost).alias("one"))
+    return told.select("level", "grp", "above", F.when(F.col("one"), F.col("up")).alias("up"))
+
+
+def placed(planned: DataFrame, results: DataFrame, group_at: DataFrame) -> DataFrame:
+    """Rows of placed queries (A28): query, status (``placed`` or ``ungrouped``), level, grp, join, shards, rearranged.
+
+    ``planned(query, shard)`` are the jobs; ``results(query, shard, joins map<string,double>, moved)`` must be these,
+    each once. ``join`` is the mean join with the group, rounded to 5; ``rearranged`` counts shards whose tree changed.
+    """
+    exactly_once(planned, results, ["query", "shard"])
+    joins = results.select("query", "shard", F.explode_outer("joins").alias("member", "height"))
+    told = assigned(reduced(joins.filter(F.col("member").isNotNull())), group_at)
+    each = results.groupBy("query").agg(F.count(F.lit(1)).alias("shards"), F.count_if("moved").alias("rearranged"))
+    whole = each.join(told, "query", "left")
+    status = F.when(F.col("grp").isNotNull(), "placed").otherwise("ungrouped").alias("status")
+    return whole.select("query", status, "level", "grp", records.rounded(F.col("mean"), 5).alias("join"), "shards", "rearranged")
+
+
+def jobs(candidates: DataFrame, central: DataFrame) -> DataFrame:
+    """``query``, ``component``, ``shard``: each query with a job meets the central shards of its candidate.
+
+    ``candidates(query, candidate, component, status)``, ``central(tip, shard)``."""
+    wanted = candidates.filter(F.col("status") == "job").select("query", "component", F.col("candidate").alias("tip"))
+    return wanted.join(central.select("tip", "shard").distinct(), "tip").select("query", "component", "shard").distinct()
+
+
+def tied(hits: DataFrame) -> DataFrame:
+    """Every target tied at a query's best identity (A29): query, target, identity."""
+    known = hits.filter(F.col("identity").isNotNull()).select("query", "target", "identity").distinct()
+    best = known.groupBy("query").agg(F.max("identity").alias("identity"))
+    return known.join(best, ["query", "identity"]).select("query", "target", "identity")
+
+
 def exactly_once(planned: DataFrame, results: DataFrame, keys: list[str]) -> None:
     """Refuse results that aren't the planned jobs, each once."""
     missing = planned.select(*keys).distinct().join(results.select(*keys), keys, "left_anti")

@@ -81,6 +81,194 @@ def midpoint(parent: list[int], length: list[float], name: list[str]) -> tuple[l
     return [number.get(up[n], -1) for n in order], [0.0 if n == root else size(n) for n in order], [name[n] if n < len(name) else "" for n in order]
 
 
+Tree = tuple[list[int], list[float], list[str]]
+
+
+def pruned(tree: Tree, keep: set[str]) -> Tree:
+    """The tree of some of the leaves; nodes with one branch go, lengths add up."""
+    parent, length, name = tree
+    alive, inner = [False] * len(parent), set(parent)
+    for x in range(len(parent)):
+        if name[x] in keep and x not in inner:
+            at = x
+            while at >= 0 and not alive[at]:
+                alive[at], at = True, parent[at]
+    branches = [0] * len(parent)
+    for x in range(1, len(parent)):
+        if alive[x]:
+            branches[parent[x]] += 1
+    stays = [alive[x] and branches[x] != 1 for x in range(len(parent))]
+    children: list[list[int]] = [[] for _ in parent]
+    for x in range(1, len(parent)):
+        children[parent[x]].append(x)
+    out: tuple[list[int], list[float], list[str]] = ([], [], [])
+    todo = [(0, -1, 0.0)]
+    while todo:
+        x, up, far = todo.pop()
+        if not alive[x]:
+            continue
+        if stays[x]:
+            out[0].append(up)
+            out[1].append(far if up >= 0 else 0.0)
+            out[2].append(name[x])
+            up, far = len(out[0]) - 1, 0.0
+        todo += [(c, up, far + length[c]) for c in children[x]]
+    return out
+
+
+def rooted_on(tree: Tree, outside: set[str], members: list[str]) -> Tree:
+    """The tree rooted on the leaf of ``outside`` with the greatest sum of distances to the first 40 members."""
+    parent, length, name = tree
+    near: list[list[tuple[int, float]]] = [[] for _ in parent]
+    for x, p in enumerate(parent):
+        if p >= 0:
+            near[x].append((p, length[x]))
+            near[p].append((x, length[x]))
+    leaf = {name[x]: x for x in range(1, len(parent)) if len(near[x]) == 1}
+    some = [leaf[m] for m in members if m in leaf][:40]
+    candidates = sorted(o for o in outside if o in leaf)
+    if not candidates or not some:
+        return tree
+    far = max(candidates, key=lambda o: sum(_distances(leaf[o], near)[0][m] for m in some))
+    start = leaf[far]
+    (side, edge), = near[start]
+    near[start], near[side] = [(len(parent), edge / 2)], [(n, d) for n, d in near[side] if n != start] + [(len(parent), edge / 2)]
+    near.append([(start, edge / 2), (side, edge / 2)])
+    out: Tree = ([], [], [])
+    todo = [(len(parent), -1, -1, 0.0)]
+    while todo:
+        x, before, up, d = todo.pop()
+        out[0].append(up)
+        out[1].append(d)
+        out[2].append(name[x] if x < len(name) else "")
+        at = len(out[0]) - 1
+        todo += [(n, x, at, e) for n, e in near[x] if n != before]
+    return out
+
+
+def collapsed(tree: Tree, least: float) -> Tree:
+    """Inner branches below ``least`` go, from the leaves up; their length is added to the branches below."""
+    parent, length, name = list(tree[0]), list(tree[1]), tree[2]
+    children: list[list[int]] = [[] for _ in parent]
+    for x in range(1, len(parent)):
+        children[parent[x]].append(x)
+    gone = [False] * len(parent)
+    for x in _bottom_up(parent):
+        if x and children[x] and length[x] < least:
+            gone[x] = True
+            for c in children[x]:
+                parent[c] = parent[x]
+                length[c] += length[x]
+                children[parent[x]].append(c)
+            children[parent[x]].remove(x)
+    number = {x: k for k, x in enumerate(x for x in range(len(parent)) if not gone[x])}
+    return [number.get(parent[x], -1) for x in number], [length[x] for x in number], [name[x] for x in number]
+
+
+def _bottom_up(parent: list[int]) -> list[int]:
+    children: list[list[int]] = [[] for _ in parent]
+    for x in range(1, len(parent)):
+        children[parent[x]].append(x)
+    order, todo = [], [0]
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        todo += children[x]
+    return order[::-1]
+
+
+def written(tree: Tree) -> str:
+    """Newick text with branch lengths of 6 significant digits."""
+    parent, length, name = tree
+    children: list[list[int]] = [[] for _ in parent]
+    for x in range(1, len(parent)):
+        children[parent[x]].append(x)
+    text = [""] * len(parent)
+    for x in _bottom_up(parent):
+        inner = f"({','.join(text[c] for c in children[x])})" if children[x] else name[x]
+        text[x] = inner if parent[x] < 0 else f"{inner}:{length[x]:.6g}"
+    return text[0] + ";"
+
+
+def prepared(newick: str, members: list[str], outside: list[str], width: int, rooting: str = "midpoint") -> str:
+    """A shard's tree of its members only, rooted at its midpoint or on its outermost leaf outside, without inner
+    branches below half a site (T1)."""
+    tree = parsed(newick)
+    if rooting == "scaffold":
+        tree = rooted_on(tree, set(outside), members)
+    tree = pruned(tree, set(members))
+    if rooting == "midpoint":
+        tree = pruned(midpoint(*tree), set(members))
+    return written(collapsed(tree, 0.5 / width))
+
+
+def prepared_trees(trees: DataFrame, rooting: str = "midpoint") -> DataFrame:
+    """``shard``, ``newick``, ``width`` of prepared trees (S16), from ``trees(shard, newick, width, members, outside)``."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            done = [prepared(n, list(m), list(o) if o is not None else [], w, rooting) for n, m, o, w in zip(batch["newick"], batch["members"], batch["outside"], batch["width"])]
+            yield pd.DataFrame({"shard": batch["shard"], "newick": done, "width": batch["width"]})
+
+    return trees.select("shard", "newick", "width", "members", "outside").mapInPandas(each, "shard string, newick string, width int")
+
+
+def pooled(trees: DataFrame, twins: DataFrame) -> DataFrame:
+    """Trees of both covers, a cover-1 twin of a cover-0 shard once (S17, U6): ``trees(shard, ...)``, ``twins(shard)``."""
+    return trees.join(twins.select("shard"), "shard", "left_anti")
+
+
+def _leaves_below(tree: Tree) -> list[frozenset[str]]:
+    parent, _, name = tree
+    inner = set(parent)
+    below = [frozenset() if x in inner else frozenset([n]) for x, n in enumerate(name)]
+    for x in _bottom_up(parent):
+        if parent[x] >= 0:
+            below[parent[x]] |= below[x]
+    return below
+
+
+def rearranged(stored: str, again: str, query: str, least: float) -> bool:
+    """Whether a query's place in a tree made anew has no counterpart in the stored one, both collapsed.
+
+    The place is the set of parts into which the node above the query cuts the other leaves. It has a counterpart
+    where a stored node cuts them alike, or, for two parts, where a stored branch does.
+    """
+    old, new = collapsed(parsed(stored), least), collapsed(parsed(again), least)
+    below, fresh = _leaves_below(old), _leaves_below(new)
+    everything, whole = below[0], fresh[0]
+    at = new[0][next(x for x, n in enumerate(new[2]) if n == query)]
+    sides = {fresh[x] for x, p in enumerate(new[0]) if p == at} | ({whole - fresh[at]} if at else set())
+    wanted = {(s - {query}) & everything for s in sides} - {frozenset()}
+    for x in range(len(old[0])):
+        own = {below[c] for c, p in enumerate(old[0]) if p == x} | ({everything - below[x]} if x else set())
+        if own == wanted:
+            return False
+    return not (len(wanted) == 2 and any(below[x] in wanted for x in range(1, len(old[0]))))
+
+
+def query_joins(newick: str, members: list[str], outside: list[str], query: str, width: int) -> dict[str, float]:
+    """The level at which a query joins each member in the prepared tree."""
+    found = joins(prepared(newick, [*members, query], outside, width), width, "identical", None)
+    return {j if i == query else i: v for i, j, v in found if query in (i, j)}
+
+
+def placement_results(jobs: DataFrame) -> DataFrame:
+    """``query``, ``shard``, ``joins`` and ``moved`` of trees made anew with a query.
+
+    ``jobs(query, shard, newick, stored, width, members, outside)``: the tree with the query, and the stored one."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                level = query_joins(r.newick, list(r.members), list(r.outside) if r.outside is not None else [], r.query, r.width)
+                rows.append((r.query, r.shard, level, rearranged(r.stored, r.newick, r.query, 0.5 / r.width)))
+            yield pd.DataFrame(rows, columns=["query", "shard", "joins", "moved"])
+
+    return jobs.select("query", "shard", "newick", "stored", "width", "members", "outside").mapInPandas(each, "query string, shard string, joins map<string,double>, moved boolean")
+
+
 def joins(newick: str, width: int, mode: str = "identical", root: str = "midpoint") -> list[tuple[str, str, float]]:
     """The level at which each pair of leaves joins.
 
@@ -90,7 +278,7 @@ def joins(newick: str, width: int, mode: str = "identical", root: str = "midpoin
     """
     parent, length, name = parsed(newick)
     if root == "midpoint":
-        parent, length, name = midpoint(parent, length, name)
+        parent, length, name = pruned(midpoint(parent, length, name), set(name))
     children: list[list[int]] = [[] for _ in parent]
     for x, p in enumerate(parent):
         if p >= 0:

@@ -15,6 +15,7 @@ from grovewise.operators import lineage as lines
 from grovewise.operators.dereplicate import dereplicate, summary
 from grovewise.operators.hotkeys import top_per_key
 from grovewise.plans.tables import table
+from grovewise.sources import release
 from grovewise.storage import Scratch
 
 LEVELS = [0.0, 0.01, 0.02, 0.05]
@@ -223,6 +224,34 @@ def candidate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placement.candidates(hits, home.withColumnRenamed("tip", "target"), queries, built)
 
 
+def tied_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every target tied at a query's best identity."""
+    return placement.tied(_hits(spark, sf_dir))
+
+
+def placement_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries that can be placed, by the central shards of their best target."""
+    central = covers.central_shards(_shards(spark, sf_dir)).select("tip", F.concat_ws("/", "plan_id", "shard").alias("shard"))
+    return placement.jobs(candidate_status(spark, sf_dir), central)
+
+
+def region_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of 150 tips or more, small and lone ones."""
+    return release.regions(_home(spark, sf_dir), _hits(spark, sf_dir))[0]
+
+
+def region_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the covers of components draw on: own tips, and around small ones their context."""
+    return release.regions(Scratch(spark).keep(_home(spark, sf_dir)), _hits(spark, sf_dir).filter(F.col("identity").isNotNull()))[1]
+
+
+def group_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spellings under which the search names the tips of each group, as its inputs."""
+    names = table(spark, sf_dir, "knn").select(F.explode(F.array("query", "target")).alias("input_id"))
+    members = _members(spark, sf_dir).select(F.col("grp").alias("group_id"), F.col("tip").alias("tip_id"))
+    return release.group_inputs(members, names.select("input_id", ids.tip_id(F.col("input_id")).alias("tip_id")))
+
+
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries by status."""
     return candidate_status(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
@@ -364,7 +393,7 @@ def large_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     content_dedup, input_summary, pair_consensus, votes_at_levels, membership, cohesion_held, tip_pull, group_margin, level_summary, separation, unit_pairs,
     knn_top, component_anchors, outgroups_top8, scaffold_top, coverage_account, twin_shards, distinct_shards, central_shards, hash_cover, sparse_plan,
-    vector_neighbours, lineage, minted_ids, adjusted_rand, candidate_status, status_counts, assigned, chunk_contiguous, average_linkage, cut_groups,
+    vector_neighbours, tied_targets, placement_jobs, region_kinds, region_neighbours, group_inputs, lineage, minted_ids, adjusted_rand, candidate_status, status_counts, assigned, chunk_contiguous, average_linkage, cut_groups,
     stem_nodes, weakest_links, forest_parts, numbered_groups, build_levels, build_tips, build_nodes, layer_levels, formed_nodes, enclosing_groups, group_identities, unit_neighbours, unit_cover, context_units, large_parts,
 )}
 
@@ -462,6 +491,11 @@ _CLEAN = lambda c: f"list_filter(list_transform({c}, lambda x: {_TIP('x')}), lam
 _SHARDS = f"""shards AS (SELECT plan_id, cover, shard, {_CLEAN('members')} AS members, coalesce({_CLEAN('context')}, CAST([] AS VARCHAR[])) AS context FROM manifest),
 full_ AS (SELECT *, sha256(array_to_string(list_sort(list_distinct(members)), ',')) AS key, sha256(array_to_string(list_sort(list_distinct(members || context)), ',')) AS own FROM shards WHERE len(members) > 0)"""
 
+_CENTRAL = """first_ AS (SELECT DISTINCT plan_id, own FROM full_ WHERE cover = 0), skip AS (SELECT DISTINCT f.plan_id, f.shard FROM full_ f JOIN first_ USING (plan_id, own) WHERE f.cover = 1),
+        pos AS (SELECT plan_id, cover, shard, unnest(members) AS tip, unnest(range(len(members))) AS pos FROM full_ WHERE NOT (cover = 1 AND (plan_id, shard) IN (SELECT (plan_id, shard) FROM skip))),
+        each AS (SELECT plan_id, cover, tip, shard, CAST(min(pos) AS INT) AS pos FROM pos GROUP BY 1, 2, 3, 4),
+        central AS (SELECT * FROM each QUALIFY row_number() OVER (PARTITION BY plan_id, cover, tip ORDER BY pos, shard) <= 3)"""
+
 ORACLE = {
     "input_summary": r"""WITH c AS (SELECT upper(regexp_replace(coalesce(text, ''), '[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\-.]', '', 'g')) AS s FROM documents),
         n AS (SELECT s, count(*) AS n FROM c GROUP BY 1) SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS records, CAST(coalesce(sum(n) FILTER (s = ''), 0) AS BIGINT) AS empty,
@@ -491,9 +525,17 @@ ORACLE = {
         FROM tip t LEFT JOIN seen s ON s.tip = t.tip LEFT JOIN near r ON r.tip = t.tip""",
     "twin_shards": f"WITH {_SHARDS} SELECT DISTINCT b.plan_id, b.shard, a.shard AS twin FROM full_ b JOIN (SELECT plan_id, own, min(shard) AS shard FROM full_ WHERE cover = 0 GROUP BY 1, 2) a ON a.plan_id = b.plan_id AND a.own = b.own WHERE b.cover = 1",
     "distinct_shards": f"WITH {_SHARDS} SELECT plan_id, key, min(shard) AS shard, CAST(max(len(list_distinct(members))) AS INT) AS n_members, count(DISTINCT shard) AS n_shards FROM full_ GROUP BY 1, 2",
-    "central_shards": f"""WITH {_SHARDS}, first_ AS (SELECT DISTINCT plan_id, own FROM full_ WHERE cover = 0), skip AS (SELECT DISTINCT f.plan_id, f.shard FROM full_ f JOIN first_ USING (plan_id, own) WHERE f.cover = 1),
-        pos AS (SELECT plan_id, cover, shard, unnest(members) AS tip, unnest(range(len(members))) AS pos FROM full_ WHERE NOT (cover = 1 AND (plan_id, shard) IN (SELECT (plan_id, shard) FROM skip))),
-        each AS (SELECT plan_id, cover, tip, shard, CAST(min(pos) AS INT) AS pos FROM pos GROUP BY 1, 2, 3, 4) SELECT * FROM each QUALIFY row_number() OVER (PARTITION BY plan_id, cover, tip ORDER BY pos, shard) <= 3""",
+    "central_shards": f"WITH {_SHARDS}, {_CENTRAL} SELECT * FROM central",
+    "tied_targets": f"WITH {_HITS} SELECT query, target, identity FROM hits WHERE identity IS NOT NULL QUALIFY rank() OVER (PARTITION BY query ORDER BY identity DESC) = 1",
+    "placement_jobs": f"""WITH RECURSIVE {_HOME}, {_SHARDS}, {_CENTRAL} SELECT DISTINCT s.query, s.component, c.plan_id || '/' || c.shard AS shard FROM state s JOIN central c ON c.tip = s.candidate WHERE s.status = 'job'""",
+    "region_kinds": f"""WITH RECURSIVE {_HOME} SELECT component, count(*) AS n_tips, CASE WHEN count(*) >= 150 THEN 'large' WHEN count(*) >= 2 THEN 'small' ELSE 'lone' END AS kind FROM home GROUP BY 1""",
+    "region_neighbours": f"""WITH RECURSIVE {_HOME}, kind AS (SELECT component, count(*) AS n FROM home GROUP BY 1),
+        near AS (SELECT q.component, h.query, h.target, h.identity, coalesce(q.component = t.component, false) AS own, n FROM hits h JOIN home q ON q.tip = h.query LEFT JOIN home t ON t.tip = h.target
+            JOIN kind k ON k.component = q.component WHERE n > 1 AND h.identity IS NOT NULL)
+        SELECT component, query, target, identity, own FROM near WHERE n >= 150 AND own UNION ALL SELECT component, query, target, identity, own FROM near WHERE n < 150
+            QUALIFY row_number() OVER (PARTITION BY query ORDER BY identity DESC, target DESC) <= 179""",
+    "group_inputs": f"""WITH m AS (SELECT DISTINCT nullif(upper(trim(group_id, {_BLANK})), '') AS grp, {_TIP('tip_id')} AS tip FROM group_members),
+        x AS (SELECT query AS input FROM knn UNION SELECT target FROM knn), n AS (SELECT input, {_TIP('input')} AS tip FROM x) SELECT DISTINCT grp, input FROM m JOIN n USING (tip)""",
     "vector_neighbours": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
         SELECT a.vec_id AS query, b.vec_id AS target, list_aggregate(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]), 'fsum') AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id
         WHERE a.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, target) <= 10""",

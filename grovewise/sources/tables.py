@@ -34,6 +34,17 @@ def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_c0").alias("kind"), F.col("_c8").alias("member"), F.when(F.col("_c0") == "H", F.col("_c9")).otherwise(F.col("_c8")).alias("centroid"))
 
 
+def read_copies(spark: SparkSession, path: str) -> DataFrame:
+    """``tip``, ``copies`` of a table of members with the columns tip, size and more."""
+    rows = spark.read.csv(path, sep="\t", header=True)
+    return rows.select("tip", F.col("size").cast("int").alias("copies"))
+
+
+def write_trees(trees: DataFrame, path: str, order: list[str]) -> None:
+    """One tree a line, compressed, sorted (S14): ``trees(newick)`` and the columns of ``order``; refuses an existing path."""
+    trees.orderBy(*order).select(F.col("newick").alias("value")).write.option("compression", "gzip").text(path)
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Placement results of all chunks, as (query, shard, member, height); mixed chunkings are refused."""
     rows = spark.read.schema(PLACEMENT_RESULT).json(path)
