@@ -1,0 +1,112 @@
+"""Release tables of two builds, regions, placements."""
+
+import random
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from grovewise.operators import build, placement
+from grovewise.sources import release, tables
+
+
+def made(spark, seed, tips):
+    rng = random.Random(seed)
+    at = {t: (t % 3) * 4 + rng.randrange(16) / 16 for t in tips}
+    rows = [tuple(sorted(rng.sample(tips, 2))) for _ in range(500)]
+    given = spark.createDataFrame([("s", i, j, abs(at[i] - at[j]) / 8) for i, j in rows], "shard string, i int, j int, v float")
+    return build.build(given, spark.createDataFrame([(t,) for t in tips], "tip int"), [0.05, 0.1, 0.2], floor=0.01, grid=0.0005, top=0.2)
+
+
+def test_two_releases(spark, tmp_path):
+    tips = list(range(18))
+    found = made(spark, 3, tips)
+    inputs = [(f"i{t}.{k}", "full", t, "xyz"[t % 3]) for t in tips for k in range(1 + t % 2)] + [("other", "full", 99, "w"), ("part", "its2", None, None)]
+    classes = spark.createDataFrame(inputs, "input_id string, class string, tip_id int, component string")
+    out = release.release_tables(found, classes, "r1")
+    tables.write_release(out, str(tmp_path / "r1"))
+    read = lambda r, name: spark.read.parquet(str(tmp_path / r / name)).collect()
+    for name, columns in release.COLUMNS.items():
+        assert set(spark.read.parquet(str(tmp_path / "r1" / name)).columns) == set(columns)
+    groups = {r["group_id"]: r for r in read("r1", "groups")}
+    members = defaultdict(set)
+    for r in read("r1", "group_members"):
+        members[r["group_id"]].add(r["tip_id"])
+    assert groups.keys() == members.keys() and all(groups[g]["n_tips"] == len(s) for g, s in members.items())
+    assert len(groups) == found.nodes.count() + found.stems.count() and len({frozenset(s) for s in members.values()}) == len(groups)
+    assert {r["kind"] for r in groups.values()} == {"level", "node"}
+    for g, r in groups.items():
+        homes = {"xyz"[t % 3] for t in members[g]}
+        assert r["n_components"] == len(homes) and r["component"] == (homes.pop() if len(homes) == 1 else None)
+        if r["parent_id"] is not None:
+            assert members[g] < members[r["parent_id"]]
+        if r["nearest_id"] is not None:
+            assert not members[g] & members[r["nearest_id"]]
+    assert {r["input_id"]: r["status"] for r in read("r1", "inputs")} == {i: "built" if t in tips else "not_built" if c == "full" else "dropped:its2" for i, c, t, _ in inputs}
+    assert {r["tip_id"]: (r["n_inputs"], r["component"]) for r in read("r1", "tips")} == {t: (1 + t % 2, "xyz"[t % 3]) for t in tips}
+    for r in read("r1", "membership"):
+        assert r["group_id"] is None or r["tip_id"] in members[r["group_id"]]
+        assert r["pull_target"] is None or r["pull_target"] in groups or r["pull_target"].isdigit()
+    assert {r["event"] for r in read("r1", "lineage")} == {"born"} and {r["group_id"] for r in read("r1", "minted")} == set(groups)
+
+    former = release.previous_groups(spark, str(tmp_path / "r1"))
+    again = release.release_tables(found, classes, "r2", former)
+    assert {(r["group_id"], r["previous_id"]) for r in again["lineage"].filter("event = 'continued'").collect()} == {(g, g) for g in groups}
+    assert {r["release"] for r in again["minted"].collect()} == {"r1"}
+    changed = release.release_tables(made(spark, 8, tips), classes, "r2", former)
+    tables.write_release(changed, str(tmp_path / "r2"))
+    events = read("r2", "lineage")
+    kept = {r["group_id"] for r in events if r["event"] == "continued"}
+    born = {r["group_id"] for r in events if r["event"] == "born"}
+    assert kept and born and kept <= set(groups) and not born & set(groups) and {r["group_id"] for r in read("r2", "groups")} == kept | born
+    assert {(r["group_id"], r["release"]) for r in read("r2", "minted")} == {(g, "r1") for g in groups} | {(g, "r2") for g in born}
+
+
+def test_nothing_built(spark):
+    none = spark.createDataFrame([], "shard string, i int, j int, v float")
+    found = build.build(none, spark.createDataFrame([(1,)], "tip int"), [0.1])
+    out = release.release_tables(found, spark.createDataFrame([("a", "full", 1, "x")], "input_id string, class string, tip_id int, component string"), "r")
+    assert {k: df.count() for k, df in out.items()} == {"inputs": 1, "tips": 1, "groups": 0, "group_levels": 0, "group_members": 0, "membership": 1, "lineage": 0, "minted": 0}
+
+
+def test_digest(spark):
+    df = spark.createDataFrame([(i, None if i % 3 else "x") for i in range(50)], "a int, b string")
+    one = lambda d: release.digest(d, ["a", "b"]).first()[0]
+    assert one(df) == one(df.repartition(7).orderBy(F.rand(1))) != one(df.limit(49))
+    assert one(df) != one(df.withColumn("b", F.coalesce("b", F.lit("")))) and one(df.limit(0)) != one(df)
+
+
+def test_regions(spark):
+    rng = random.Random(1)
+    home = {f"l{k}": "L" for k in range(6)} | {f"s{k}": "S" for k in range(3)} | {"x": "X"}
+    hits = {(q, t): rng.randrange(80, 100) + 0.5 for q in home for t in [*home, "stranger"] if q != t and rng.random() < 0.8}
+    kinds, near = release.regions(spark.createDataFrame(list(home.items()), "tip string, component string"), spark.createDataFrame([(*p, i) for p, i in hits.items()] + [("l1", "l1", 100.0)], "query string, target string, identity double"), large=5, nearest=3, context=1)
+    assert {r["component"]: (r["n_tips"], r["kind"]) for r in kinds.collect()} == {"L": (6, "large"), "S": (3, "small"), "X": (1, "lone")}
+    want = {(q, t, home.get(t) == "L") for q, t in hits if home[q] == "L" == home.get(t)}
+    for q in home:
+        if home[q] == "S":
+            best = sorted(((i, t) for (p, t), i in hits.items() if p == q), reverse=True)[:3]
+            want |= {(q, t, home.get(t) == "S") for _, t in best}
+    assert {(r["query"], r["target"], r["own"]) for r in near.collect()} == want
+
+
+def test_placed_rows_and_ancestors(spark):
+    at = {(x, m): g for x, row in ((0.1, "aabb-"), (0.2, "ccccd"), (0.3, "eeffe")) for m, g in zip("vwxyz", row)}
+    group_at = spark.createDataFrame([(x, m, None if g == "-" else g) for (x, m), g in at.items()], "level double, member string, grp string")
+    up = {(r["level"], r["grp"], r["above"]): r["up"] for r in placement.ancestors(group_at).collect()}
+    assert up[0.1, "a", 0.1] == "a" and up[0.1, "b", 0.2] == "c" and up[0.2, "c", 0.3] is None and up[0.2, "d", 0.3] == "e"
+    planned = spark.createDataFrame([("q", "s"), ("q", "t"), ("r", "s"), ("n", "s")], "query string, shard string")
+    kind = "query string, shard string, joins map<string,double>, moved boolean"
+    results = [("q", "s", {"v": 0.05, "x": 0.5}, True), ("q", "t", {"v": 0.0712345678}, False), ("r", "s", {"z": 0.9}, False), ("n", "s", {}, True)]
+    got = {r["query"]: tuple(r)[1:] for r in placement.placed(planned, spark.createDataFrame(results, kind), group_at).collect()}
+    assert got == {"q": ("placed", 0.1, "a", round((0.05 + 0.0712345678) / 2, 5), 2, 1), "r": ("ungrouped", None, None, None, 1, 0), "n": ("ungrouped", None, None, None, 1, 1)}
+    with pytest.raises(ValueError):
+        placement.placed(planned, spark.createDataFrame(results[:3], kind), group_at)
+
+
+def test_jobs_and_ties(spark, rows):
+    hits = spark.createDataFrame([("q", "a", 9.0), ("q", "b", 9.0), ("q", "c", 8.0), ("r", "a", None), ("q", "a", 9.0)], "query string, target string, identity double")
+    assert rows(placement.tied(hits)) == [("q", "a", 9.0), ("q", "b", 9.0)]
+    told = spark.createDataFrame([("q", "a", "C", "job"), ("r", "a", "C", "not_built"), ("u", "z", "C", "job")], "query string, candidate string, component string, status string")
+    central = spark.createDataFrame([("a", "s1"), ("a", "s2"), ("a", "s1")], "tip string, shard string")
+    assert rows(placement.jobs(told, central)) == [("q", "C", "s1"), ("q", "C", "s2")]
