@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Where the vocabulary file of a public tokenizer lies (lines of base64 token and rank).
@@ -21,6 +22,7 @@ _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 _SLICE_BYTES = 2 << 20
+_PIECE_BYTES = 1 << 16
 
 
 def _class_of(point: int) -> int:
@@ -329,20 +331,41 @@ def token_counts(texts: DataFrame, key: str, text: str, out: str = "n_tokens", v
 def decoded(rows: DataFrame, key: str, ids: str, out: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``key`` and the text of each list of ids.
 
-    Bytes are decoded as they come by an incremental UTF-8 state machine, since a character may spread
-    over tokens; bytes that are no UTF-8 become U+FFFD. A null list gives null; an id that the vocabulary
-    lacks is an error.
+    The bytes of all tokens of a run of lists are joined by array operations; each list's bytes then go, a
+    piece at a time, through an incremental UTF-8 state machine, since a character may spread over tokens and
+    pieces. Bytes that are no UTF-8 become U+FFFD. A null list gives null, a null id nothing; an id that the
+    vocabulary lacks is an error.
     """
     sent = _sent(rows, vocabulary)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {i: t for t, i in sent.value[1].items()}
+        tokens = [b""] * (max(sent.value[1].values(), default=-1) + 1)
+        known = np.zeros(len(tokens), bool)
+        for token, i in sent.value[1].items():
+            tokens[i], known[i] = token, True
+        size = np.array([len(t) for t in tokens], np.int64)
+        begin, letters = np.cumsum(size) - size, np.frombuffer(b"".join(tokens), np.uint8)
         for batch in batches:
-            texts = []
-            for row in batch.column(1):
-                machine = codecs.getincrementaldecoder("utf-8")("replace")
-                values = row.as_py()
-                texts.append(None if values is None else "".join(machine.decode(table[i]) for i in values) + machine.decode(b"", True))
+            lists = batch.column(1)
+            ends = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())]
+            values, texts, row = lists.flatten(), [], 0
+            while row < len(lists):
+                end = max(row + 1, int(np.searchsorted(ends, ends[row] + _SLICE_BYTES // 4, "right")) - 1)
+                some = values.slice(ends[row], ends[end] - ends[row])
+                there = some.is_valid().to_numpy(False)
+                ids_ = pc.fill_null(some, 0).to_numpy()
+                if not known[np.clip(ids_[there], 0, len(tokens) - 1)].all() or (there & ((ids_ < 0) | (ids_ >= len(tokens)))).any():
+                    raise ValueError("an id that the vocabulary lacks")
+                each = np.where(there, size[ids_], 0)
+                at = np.cumsum(each)
+                total = int(at[-1]) if len(at) else 0
+                joined = letters[np.repeat(begin[ids_] - (at - each), each) + np.arange(total)].tobytes()
+                cuts = np.r_[0, at][ends[row : end + 1] - ends[row]]
+                for k in range(row, end):
+                    machine, a, b = codecs.getincrementaldecoder("utf-8")("replace"), int(cuts[k - row]), int(cuts[k - row + 1])
+                    pieces = [machine.decode(joined[x : min(x + _PIECE_BYTES, b)]) for x in range(a, b, _PIECE_BYTES)]
+                    texts.append("".join([*pieces, machine.decode(b"", True)]) if lists[k].is_valid else None)
+                row = end
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, out])
 
     kind = rows.schema[key].dataType.simpleString()

@@ -183,3 +183,16 @@ def test_names_are_learned_from_the_words_before_them():
 def test_content_depends_on_the_order_of_words():
     a = abuse.examples(["one two three. three two one. one two three."], [])
     assert a.content[0] == a.content[2] != a.content[1]
+
+
+def test_decoding_of_odd_lists(spark):
+    texts_ = ["é" * 40_000 + "🍄", "", "a", "日本" * 3]
+    given = bpe.token_ids(spark.createDataFrame(list(enumerate(texts_)), "k long, t string"), "k", "t").collect()
+    by = {r["k"]: r["ids"] for r in given}
+    first = by[3][:1]
+    rows_ = [(k, v) for k, v in by.items()] + [(4, None), (5, [*by[2], None, *by[2]]), (6, first)]
+    got = {r["k"]: r["text"] for r in bpe.decoded(spark.createDataFrame(rows_, "k long, ids array<int>"), "k", "ids").collect()}
+    assert [got[k] for k in range(4)] == texts_ and got[4] is None and got[5] == "aa" and got[6] is not None
+    for bad in (-1, 10**6):
+        with pytest.raises(Exception, match="lacks"):
+            bpe.decoded(spark.createDataFrame([(1, [bad])], "k long, ids array<int>"), "k", "ids").collect()
