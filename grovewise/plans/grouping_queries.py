@@ -178,9 +178,9 @@ def central_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cover of the tips of the search by shards of 8, three deep, with at least two members below 97 percent where there are."""
+    """A cover of the tips of the search by shards of up to 150, three deep, with 30 members below 97 percent where there are."""
     near = _hits(spark, sf_dir).filter(F.col("identity").isNotNull()).withColumn("component", F.lit("all"))
-    return covers.hash_cover(near, 8, 3, quota=2).select("cover", "seed", F.array_join("members", ",").alias("members"), "n")
+    return covers.hash_cover(near, 150, 3, quota=30).select("cover", "seed", F.array_join("members", ",").alias("members"), "n")
 
 
 def sparse_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,7 +299,7 @@ def cut_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stem_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes set apart that no level shows."""
-    found = linkage.stem_nodes(linkage.nodes(_merges(spark, sf_dir)), [0.03, 0.04], least_stem=0.0001, grid=0.00005)
+    found = linkage.stem_nodes(linkage.nodes(_merges(spark, sf_dir)), [0.03, 0.04])
     return found.select("a", "b", "height", "height_top", "size", "measured_at")
 
 
@@ -374,15 +374,22 @@ def unit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unit_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cover of the finest groups by shards of five, two deep."""
-    found = layers.unit_cover(_unit_near(spark, sf_dir), 5, 2)
+    """A cover of the finest groups by shards of up to 150, six deep."""
+    found = layers.unit_cover(_unit_near(spark, sf_dir), 150, 6)
     return found.select("cover", "seed", F.array_join("members", ",").alias("members"), "n")
 
 
 def context_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest groups of each shard's seed beyond its members."""
     near = Scratch(spark).keep(_unit_near(spark, sf_dir))
-    return layers.context_units(near, layers.unit_cover(near, 5, 2), 20)
+    return layers.context_units(near, layers.unit_cover(near, 150, 6), 20)
+
+
+def unit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tip drawn for each group of each shard, repeated until each group is in twelve, with tips of context."""
+    near = Scratch(spark).keep(_unit_near(spark, sf_dir))
+    tips = _members(spark, sf_dir).groupBy("tip").agg(F.min("grp").alias("unit"))
+    return layers.unit_shards(Scratch(spark).keep(layers.unit_cover(near, 150, 6)), tips, near)
 
 
 def large_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,7 +401,7 @@ QUERIES = {f.__name__: f for f in (
     content_dedup, input_summary, pair_consensus, votes_at_levels, membership, cohesion_held, tip_pull, group_margin, level_summary, separation, unit_pairs,
     knn_top, component_anchors, outgroups_top8, scaffold_top, coverage_account, twin_shards, distinct_shards, central_shards, hash_cover, sparse_plan,
     vector_neighbours, tied_targets, placement_jobs, region_kinds, region_neighbours, group_inputs, lineage, minted_ids, adjusted_rand, candidate_status, status_counts, assigned, chunk_contiguous, average_linkage, cut_groups,
-    stem_nodes, weakest_links, forest_parts, numbered_groups, build_levels, build_tips, build_nodes, layer_levels, formed_nodes, enclosing_groups, group_identities, unit_neighbours, unit_cover, context_units, large_parts,
+    stem_nodes, weakest_links, forest_parts, numbered_groups, build_levels, build_tips, build_nodes, layer_levels, formed_nodes, enclosing_groups, group_identities, unit_neighbours, unit_cover, context_units, unit_shards, large_parts,
 )}
 
 _VOTES = """base AS (SELECT l_orderkey AS shard, l_suppkey AS tip, min(l_discount) AS x FROM lineitem GROUP BY 1, 2),
@@ -604,7 +611,7 @@ ORACLE = {
         SELECT DISTINCT c.level, c.grp, p.grp AS parent FROM cut_ c JOIN up ON up.level = c.level LEFT JOIN cut_ p ON p.level = up.above AND p.tip = c.grp WHERE c.grp IS NOT NULL""",
     "stem_nodes": f"""WITH RECURSIVE {_MERGES}, nd AS (SELECT m.a, m.b, m.height, (SELECT arg_min(u.height, u.step) FROM merges u WHERE u.step > m.step AND m.a IN (u.a, u.b)) AS height_top,
             m.size_a + m.size_b AS size FROM merges m)
-        SELECT *, greatest(round((ceil(round(height_top, 6) / 0.00005 - 1e-9) - 1) * 0.00005, 6), height) AS measured_at FROM nd WHERE height <= 0.1 AND height_top - height >= 0.0001
+        SELECT *, greatest(round((ceil(round(height_top, 6) / 0.0005 - 1e-9) - 1) * 0.0005, 6), height) AS measured_at FROM nd WHERE height <= 0.1 AND height_top - height >= 0.001
             AND NOT (0.03 >= height AND 0.03 < height_top) AND NOT (0.04 >= height AND 0.04 < height_top)""",
     "large_parts": "SELECT p_brand, p_partkey, p_size FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) <= 3",
 }

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovewise.functions import records
 from grovewise.operators import build, lineage
 
 #: Columns of the tables, in the order in which they are written.
@@ -123,15 +122,6 @@ def _below(found: build.Built, stems: DataFrame) -> DataFrame:
     return stems.join(at, ["measured_at", "grp"]).select("grp", "n_tips", "kind", "tip")
 
 
-def digest(tables: DataFrame, columns: list[str]) -> DataFrame:
-    """One row, ``digest``: a hash of all rows of some columns, whatever their order.
-
-    Rows are hashed one by one and the hashes added up, so nothing is sorted or gathered; repeated rows count."""
-    row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    parts = [F.coalesce(F.sum(F.conv(F.substring(row, k, 12), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string") for k in (1, 13, 25, 37)]
-    return tables.agg(F.sha2(F.concat_ws(":", *parts, F.count(F.lit(1)).cast("string")), 256).alias("digest"))
-
-
 def regions(components: DataFrame, hits: DataFrame, large: int = 150, nearest: int = 150, context: int = 30) -> tuple[DataFrame, DataFrame]:
     """Components with what their covers draw on.
 
@@ -151,7 +141,3 @@ def regions(components: DataFrame, hits: DataFrame, large: int = 150, nearest: i
     first = build.layers.top_per_key(wide.select(*kept), ["component", "query"], [("identity", "descending"), ("target", "descending")], nearest - 1 + context)
     return kinds, first.select(*kept).unionByName(narrow.select(*kept))
 
-
-def short_numbers(df: DataFrame) -> DataFrame:
-    """All doubles as ``%.6g`` shows them, for text tables."""
-    return df.withColumns({f.name: records.short_number(F.col(f.name)) for f in df.schema if f.dataType.typeName() == "double"})

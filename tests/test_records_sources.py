@@ -31,6 +31,27 @@ def test_fasta_to_inputs(spark, tmp_path, rows):
     assert fasta.read_fasta(spark, str(tmp_path / "out")).select("id", "seq").exceptAll(good).count() == 0
 
 
+def test_folder_of_inputs(spark, tmp_path):
+    (tmp_path / "x.fa").write_text(">a one\nACGTTT\n>b two\nAAACGT\n>c\n\n>d\nGGG\n")
+    for k, parts in enumerate((1, 3)):
+        fasta.write_inputs(fasta.read_fasta(spark, str(tmp_path / "x.fa")).repartition(parts), str(tmp_path / f"in{k}"))
+        (told,) = spark.read.json(str(tmp_path / f"in{k}/manifest")).collect()
+        assert (told["records"], told["empty"], told["sequences"]) == (4, 1, 2)
+        back = fasta.read_fasta(spark, str(tmp_path / f"in{k}/sequences")).orderBy("id").collect()
+        assert [r["id"] for r in back] == sorted(r["id"] for r in back) and {r["seq"] for r in back} == {"ACGTTT", "GGG"}
+        assert sorted(r["name"] for r in spark.read.parquet(str(tmp_path / f"in{k}/names")).collect()) == ["a one", "b two", "d"]
+    with pytest.raises(Exception):
+        fasta.write_inputs(fasta.read_fasta(spark, str(tmp_path / "x.fa")), str(tmp_path / "in0"))
+
+
+def test_copies_and_trees(spark, tmp_path):
+    (tmp_path / "m.tsv").write_text("tip\tsize\tinputs\nx\t3\ta,b,c\ny\t1\td\n")
+    assert sorted(map(tuple, tables.read_copies(spark, str(tmp_path / "m.tsv")).collect())) == [("x", 3), ("y", 1)]
+    tables.write_trees(spark.createDataFrame([("s2", "(b);"), ("s1", "(a);")], "shard string, newick string"), str(tmp_path / "trees"), ["shard"])
+    assert [p.suffix for p in (tmp_path / "trees").glob("part*")] == [".gz"]
+    assert [r[0] for r in spark.read.text(str(tmp_path / "trees")).collect()] == ["(a);", "(b);"]
+
+
 def test_scalars(spark):
     one = spark.range(1)
     get = lambda c: one.select(c).first()[0]

@@ -71,7 +71,7 @@ def test_nothing_built(spark):
 
 def test_digest(spark):
     df = spark.createDataFrame([(i, None if i % 3 else "x") for i in range(50)], "a int, b string")
-    one = lambda d: release.digest(d, ["a", "b"]).first()[0]
+    one = lambda d: tables.digest(d, ["a", "b"]).first()[0]
     assert one(df) == one(df.repartition(7).orderBy(F.rand(1))) != one(df.limit(49))
     assert one(df) != one(df.withColumn("b", F.coalesce("b", F.lit("")))) and one(df.limit(0)) != one(df)
 
