@@ -382,7 +382,7 @@ def unit_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest groups of each shard's seed beyond its members."""
     near = Scratch(spark).keep(_unit_near(spark, sf_dir))
-    return layers.context_units(near, layers.unit_cover(near, 150, 6), 20)
+    return layers.context_units(near, layers.unit_cover(near, 10, 6), 20)
 
 
 def unit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
