@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovewise.operators import build, lineage
+from grovewise.storage import Scratch
 
 #: Columns of the tables, in the order in which they are written.
 COLUMNS = {
@@ -62,6 +63,7 @@ def release_tables(found: build.Built, classes: DataFrame, release: str, former:
     continues, else it gets a new one. ``identities(grp, n_tips, identity_min, identity_median)`` are optional.
     Nodes of the linkage between levels are groups of kind ``node``.
     """
+    scratch = Scratch(classes.sparkSession)
     cuts = found.tips.filter(F.col("grp").isNotNull())
     # a node is a name and a size; its members are those of its last level, or of the height it is measured at
     level_nodes = found.nodes.select("grp", "n_tips", F.lit("level").alias("kind"), "level_max")
@@ -70,17 +72,19 @@ def release_tables(found: build.Built, classes: DataFrame, release: str, former:
     inner = _below(found, stems)
     members = members.unionByName(inner)
     key = F.concat_ws("|", F.col("grp").cast("string"), F.col("n_tips").cast("string")).alias("key")
-    held = members.select(key, F.col("tip").alias("tip_id"))
+    held = scratch.keep(members.select(key, F.col("tip").alias("tip_id")))
     home = classes.filter(F.col("tip_id").isNotNull()).select("input_id", "tip_id", "component").distinct()
-    new = held.join(home, "tip_id").select(F.col("key").alias("grp"), F.col("input_id").alias("input")).distinct()
+    new = scratch.keep(held.join(home, "tip_id").select(F.col("key").alias("grp"), F.col("input_id").alias("input")).distinct())
     events = lineage.lineage(new, former.groups) if former else new.select(F.lit("born").alias("event"), "grp", F.lit(None).cast("string").alias("previous"), F.lit(None).cast("double").alias("jaccard"), F.lit(0).cast("bigint").alias("shared")).distinct()
+    events = scratch.keep(events)
     kept = events.filter("event = 'continued'").select(F.col("grp").alias("key"), F.col("previous").alias("group_id"))
-    fresh = lineage.minted(new.join(kept, new["grp"] == kept["key"], "left_anti"), former.minted if former else None, salt)
-    ids = kept.unionByName(fresh.select(F.col("grp").alias("key"), F.col("id").alias("group_id")))
+    fresh = lineage.minted(new.join(kept, new["grp"] == kept["key"], "left_anti"), former.minted if former else None, salt, scratch)
+    ids = scratch.keep(kept.unionByName(fresh.select(F.col("grp").alias("key"), F.col("id").alias("group_id"))))
     before = former.minted if former else fresh.select("id", F.lit("").alias("release")).limit(0)
     named = lambda c, to: ids.select(F.col("key").alias(c), F.col("group_id").alias(to))
 
     at = cuts.groupBy("level", "grp").agg(F.count(F.lit(1)).alias("n_tips")).withColumn("key", key).join(ids, "key").select("level", "grp", "group_id")
+    at = scratch.keep(at)
     levels = found.levels.join(at, ["level", "grp"])
     up = at.select(F.col("level").alias("above"), F.col("grp").alias("parent"), F.col("group_id").alias("parent_id"))
     steps = found.levels.select("level").distinct().select("level", F.col("level").alias("l"))
