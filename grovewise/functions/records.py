@@ -87,7 +87,7 @@ def tips_of_tree(newick: Column) -> Column:
 
 def set_key(items: Column) -> Column:
     """One hash for equal sets (P18, U8): sorted distinct items."""
-    return F.sha2(F.concat_ws(",", F.array_sort(F.array_distinct(items))), 256)
+    return F.sha2(F.concat_ws(",", F.sort_array(F.array_distinct(items))), 256)
 
 
 def tree_input(members: Column, context: Column, scaffold: Column) -> Column:

@@ -156,7 +156,7 @@ def _shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coverage_account(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tip of the search, found or not, and of the shards, by the distinct shards that hold it."""
-    shards = _shards(spark, sf_dir).select("plan_id", F.array_sort(F.array_distinct("members")).alias("members")).distinct()
+    shards = _shards(spark, sf_dir).select("plan_id", F.sort_array(F.array_distinct("members")).alias("members")).distinct()
     held = Scratch(spark).keep(shards.select(F.explode("members").alias("tip")).groupBy("tip").agg(F.count(F.lit(1)).alias("n_shards")))
     tips = _knn_tips(spark, sf_dir).unionAll(held.select("tip")).distinct()
     return covers.accounted(held, _hits(spark, sf_dir), tips, 3)
