@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grovewise.functions.records import rounded
 from grovewise.operators.hotkeys import top_per_key
 
 _TOKEN = re.compile(r"[(),;]|[^(),;]+")
@@ -269,7 +270,7 @@ def placement_results(jobs: DataFrame) -> DataFrame:
     return jobs.select("query", "shard", "newick", "stored", "width", "members", "outside").mapInPandas(each, "query string, shard string, joins map<string,double>, moved boolean")
 
 
-def joins(newick: str, width: int, mode: str = "identical", root: str = "midpoint") -> list[tuple[str, str, float]]:
+def joins(newick: str, width: int, mode: str = "identical", root: str | None = "midpoint") -> list[tuple[str, str, float]]:
     """The level at which each pair of leaves joins.
 
     Branches inside the tree below half a site are collapsed. A pair joins at its common node's diameter;
@@ -326,16 +327,17 @@ def joins(newick: str, width: int, mode: str = "identical", root: str = "midpoin
     return found
 
 
-def tree_votes(trees: DataFrame, mode: str = "identical") -> DataFrame:
-    """``trees(shard, newick, width)`` as votes: shard, i, j, v FLOAT."""
+def tree_votes(trees: DataFrame, mode: str = "identical", kind: str = "float", root: str | None = "midpoint") -> DataFrame:
+    """``trees(shard, newick, width)`` as votes: shard, i, j, v of ``kind`` ``float`` or ``double``."""
+    exact = np.float64 if kind == "double" else np.float32
 
     def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for shard, newick, width in zip(batch["shard"], batch["newick"], batch["width"]):
-                rows = joins(newick, width, mode)
-                yield pd.DataFrame({"shard": shard, "i": [r[0] for r in rows], "j": [r[1] for r in rows], "v": np.array([r[2] for r in rows], np.float32)})
+                rows = joins(newick, width, mode, root)
+                yield pd.DataFrame({"shard": shard, "i": [r[0] for r in rows], "j": [r[1] for r in rows], "v": np.array([r[2] for r in rows], exact)})
 
-    return trees.select("shard", "newick", "width").mapInPandas(votes, "shard string, i string, j string, v float")
+    return trees.select("shard", "newick", "width").mapInPandas(votes, f"shard string, i string, j string, v {kind}")
 
 
 def clades(trees: DataFrame) -> DataFrame:
@@ -376,7 +378,36 @@ def verdicts(clade_rows: DataFrame, shard_tips: DataFrame, groups: DataFrame) ->
     )
     whole = held.join(told, ["shard", "grp"], "left")
     verdict = F.when(F.col("held") == F.col("n"), "whole").when(F.col("stem").isNotNull(), "clade").when(F.col("broken"), "conflict").otherwise("unresolved")
-    return whole.select("shard", "grp", "held", verdict.alias("verdict"), F.when(verdict == "clade", F.col("stem")).alias("stem"))
+    outside = (F.col("n") - F.col("held")).alias("outsiders")
+    return whole.select("shard", "grp", "held", outside, verdict.alias("verdict"), F.when(verdict == "clade", F.col("stem")).alias("stem"))
+
+
+def shard_evidence(trees: DataFrame, groups: DataFrame, mode: str = "identical") -> DataFrame:
+    """``verdicts`` of prepared trees with each shard's own votes on each group (A21, T3): ``hits`` and ``votes``.
+
+    ``trees(shard, newick, width)``, rooted; ``groups(grp, tip, level)``, where a tip may be in several (nested) groups and
+    ``level`` is the one at which a group's joins count. ``votes`` are the pairs of held tips, ``hits`` those that
+    join at or below the level. A shard's tips are its tree's leaves; groups of one held tip have no row.
+    """
+    known = groups.select("grp", "tip", "level").dropna(subset=["grp", "tip"]).dropDuplicates(["grp", "tip"])
+    pairs = tree_votes(trees, mode, "double", None)
+    tips = pairs.select("shard", F.explode(F.array("i", "j")).alias("tip")).distinct()
+    told = verdicts(clades(trees), tips, known.select("grp", "tip"))
+    inside = tips.join(known, "tip")
+    end = lambda c: inside.select("shard", "grp", F.col("tip").alias(c))
+    both = pairs.join(end("i").join(inside.groupBy("shard", "grp").agg(F.max("level").alias("level")), ["shard", "grp"]), ["shard", "i"]).join(end("j"), ["shard", "grp", "j"])
+    counts = both.groupBy("shard", "grp").agg(F.count_if(F.col("v") <= F.col("level")).alias("hits"), F.count(F.lit(1)).alias("votes"))
+    return told.join(counts, ["shard", "grp"])
+
+
+def tallied(evidence: DataFrame) -> DataFrame:
+    """Verdicts on each group over all shards (A21): grp, shards, n_clade, n_unresolved, n_conflict, n_whole, ``stem`` and ``stem_n``.
+
+    ``stem`` is the median of the clades' branches in sites, both rounded to two decimals; null without a clade."""
+    kinds = [F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("clade", "unresolved", "conflict", "whole")]
+    told = evidence.withColumn("stem", rounded(F.col("stem"), 2))
+    found = told.groupBy("grp").agg(F.count(F.lit(1)).alias("shards"), *kinds, F.percentile("stem", F.lit(0.5)).alias("stem"), F.count("stem").alias("stem_n"))
+    return found.withColumn("stem", rounded(F.col("stem"), 2))
 
 
 def to_build(inputs: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -128,3 +128,33 @@ def test_results_of_jobs(spark):
     done = trees.prepared_trees(spark.createDataFrame([("s", newick, 300, names, None), ("u", newick, 300, names[:3], ["o"])], "shard string, newick string, width int, members array<string>, outside array<string>"))
     assert {r["shard"]: len(leaf_distances(r["newick"])) for r in done.collect()} == {"s": 21, "u": 3}
     assert trees.pooled(done, spark.createDataFrame([("u",)], "shard string")).count() == 1
+
+
+def test_evidence_of_shards(spark):
+    rng = random.Random(5)
+    names = [f"t{k}" for k in range(9)]
+    shards = {}
+    for k in range(4):
+        held = rng.sample(names, 7)
+        shards[f"s{k}"] = (held, trees.prepared(text(*grown(rng, held)), held, [], 400))
+    df = spark.createDataFrame([(s, n, 400) for s, (_, n) in shards.items()], "shard string, newick string, width int")
+    groups = {f"g{k}": (rng.sample(names, 2 + k), 0.02 * (k + 1)) for k in range(7)} | {"all": (names, 0.05), "lone": (names[:1], 1.0)}
+    rows = [(g, t, level) for g, (tips, level) in groups.items() for t in tips]
+    found = trees.shard_evidence(df, spark.createDataFrame([*rows, *rows, ("g1", None, 0.1), (None, "t1", 0.1)], "grp string, tip string, level double"))
+    got = {(r["shard"], r["grp"]): r for r in found.collect()}
+    want = {}
+    for s, (held, newick) in shards.items():
+        level_of = {frozenset(p[:2]): p[2] for p in trees.joins(newick, 400, "identical", None)}
+        for g, (tips, level) in groups.items():
+            both = [frozenset(p) for p in combinations(set(tips) & set(held), 2)]
+            if both:
+                want[s, g] = (sum(level_of[p] <= level for p in both), len(both), len(set(held) - set(tips)))
+    assert {k: (r["hits"], r["votes"], r["outsiders"]) for k, r in got.items()} == want
+    for r in trees.tallied(found).collect():
+        own = [x for (_, g), x in got.items() if g == r["grp"]]
+        stems = sorted(round(x["stem"], 2) for x in own if x["stem"] is not None)
+        assert r["shards"] == len(own) and [r[f"n_{v}"] for v in ("clade", "unresolved", "conflict", "whole")] == [sum(x["verdict"] == v for x in own) for v in ("clade", "unresolved", "conflict", "whole")]
+        assert r["stem_n"] == len(stems) and (r["stem"] is None) == (not stems)
+        if stems:
+            assert abs(r["stem"] - (stems[(len(stems) - 1) // 2] + stems[len(stems) // 2]) / 2) <= 0.0051
+    assert trees.shard_evidence(df.limit(0), spark.createDataFrame(rows, "grp string, tip string, level double")).count() == 0
