@@ -308,6 +308,13 @@ def weakest_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.weakest(_merges(spark, sf_dir))
 
 
+def merge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observed pairs across each merge."""
+    scratch = Scratch(spark)
+    pairs = scratch.keep(votes.consensus(_votes(spark, sf_dir), LEVELS).select("i", "j", F.col("med").alias("d"), F.col("votes").alias("w")))
+    return linkage.cross_pairs(linkage.average_linkage(pairs, scratch), pairs, scratch)
+
+
 def formed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of the linkage that stay the same over levels."""
     return linkage.formed_nodes(cut_groups(spark, sf_dir))
@@ -401,7 +408,7 @@ QUERIES = {f.__name__: f for f in (
     content_dedup, input_summary, pair_consensus, votes_at_levels, membership, cohesion_held, tip_pull, group_margin, level_summary, separation, unit_pairs,
     knn_top, component_anchors, outgroups_top8, scaffold_top, coverage_account, twin_shards, distinct_shards, central_shards, hash_cover, sparse_plan,
     vector_neighbours, tied_targets, placement_jobs, region_kinds, region_neighbours, group_inputs, lineage, minted_ids, adjusted_rand, candidate_status, status_counts, assigned, chunk_contiguous, average_linkage, cut_groups,
-    stem_nodes, weakest_links, forest_parts, numbered_groups, build_levels, build_tips, build_nodes, layer_levels, formed_nodes, enclosing_groups, group_identities, unit_neighbours, unit_cover, context_units, unit_shards, large_parts,
+    stem_nodes, weakest_links, merge_pairs, forest_parts, numbered_groups, build_levels, build_tips, build_nodes, layer_levels, formed_nodes, enclosing_groups, group_identities, unit_neighbours, unit_cover, context_units, unit_shards, large_parts,
 )}
 
 _VOTES = """base AS (SELECT l_orderkey AS shard, l_suppkey AS tip, min(l_discount) AS x FROM lineitem GROUP BY 1, 2),
@@ -586,6 +593,9 @@ ORACLE = {
         SELECT grp, left(t, 4) || '-' || right(t, 4) AS id FROM e""",
     "average_linkage": f"WITH RECURSIVE {_MERGES} SELECT a, b, height, observed, votes, size_a, size_b FROM merges",
     "weakest_links": f"WITH RECURSIVE {_MERGES} SELECT a, b, votes AS join_votes, weakest AS weakest_votes FROM merges",
+    "merge_pairs": f"""WITH RECURSIVE {_MERGES}, up AS (SELECT s_suppkey AS tip, s_suppkey AS at_, -1 AS since FROM supplier UNION ALL SELECT u.tip, m.a, m.step FROM up u JOIN merges m ON m.b = u.at_),
+        met AS (SELECT p.i, p.j, min(greatest(x.since, y.since)) AS step FROM med p JOIN up x ON x.tip = p.i JOIN up y ON y.tip = p.j AND y.at_ = x.at_ GROUP BY 1, 2)
+        SELECT m.a, m.b, t.i, t.j FROM met t JOIN merges m USING (step)""",
     "forest_parts": f"""WITH RECURSIVE {_MERGES} SELECT s_suppkey AS part, CAST(coalesce((SELECT max(size_a + size_b) FROM merges m WHERE m.a = s_suppkey), 1) AS BIGINT) AS n
         FROM supplier WHERE s_suppkey NOT IN (SELECT b FROM merges)""",
     "build_levels": f"WITH RECURSIVE {_BUILD} SELECT * FROM blevel",
