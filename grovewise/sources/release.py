@@ -14,14 +14,15 @@ from grovewise.storage import Scratch
 COLUMNS = {
     "inputs": ["input_id", "tip_id", "status", "component"],
     "tips": ["tip_id", "component", "n_inputs", "seen", "part"],
-    "groups": ["group_id", "component", "n_components", "n_tips", "level_min", "level_max", "parent_id", "cohesion", "votes", "pull", "margin", "held", "spread", "spread_median",
-               "identity_min", "identity_median", "nearest_id", "nearest_distance", "second_id", "second_distance", "gap", "kind", "height", "height_top", "measured_at"],
+    "groups": ["group_id", "component", "n_components", "n_tips", "level_min", "level_max", "parent_id", "cohesion", "votes", "pull", "margin", "held", "stem", "stem_shards", "spread", "spread_median",
+               "identity_min", "identity_median", "nearest_id", "nearest_distance", "second_id", "second_distance", "gap", "n_clade", "n_unresolved", "n_conflict", "n_whole", "kind", "height", "height_top", "measured_at"],
     "group_levels": ["group_id", "level", "cohesion", "votes", "pull", "margin", "held"],
     "group_members": ["group_id", "tip_id"],
     "membership": ["tip_id", "level", "group_id", "membership", "votes", "partners", "pull", "pull_target", "pull_votes"],
     "lineage": ["event", "group_id", "previous_id", "jaccard", "shared"],
     "minted": ["group_id", "release"],
 }
+_VERDICTS = ("n_clade", "n_unresolved", "n_conflict", "n_whole")
 
 
 @dataclass
@@ -56,11 +57,11 @@ def status_of(classes: DataFrame, built_tips: DataFrame) -> DataFrame:
     return classes.join(done, "tip_id", "left").select("input_id", "tip_id", status.alias("status"), "component")
 
 
-def release_tables(found: build.Built, classes: DataFrame, release: str, former: Former | None = None, identities: DataFrame | None = None, salt: str = "") -> dict[str, DataFrame]:
+def release_tables(found: build.Built, classes: DataFrame, release: str, former: Former | None = None, identities: DataFrame | None = None, salt: str = "", verdicts: DataFrame | None = None) -> dict[str, DataFrame]:
     """The tables of a release of one build.
 
     ``classes(input_id, class, tip_id, component)``: every input. A group keeps the id of the former group that it
-    continues, else it gets a new one. ``identities(grp, n_tips, identity_min, identity_median)`` are optional.
+    continues, else it gets a new one. ``identities(grp, n_tips, identity_min, identity_median)`` and ``verdicts`` (``trees.tallied`` with ``n_tips``) are optional.
     Nodes of the linkage between levels are groups of kind ``node``.
     """
     scratch = Scratch(classes.sparkSession)
@@ -96,9 +97,11 @@ def release_tables(found: build.Built, classes: DataFrame, release: str, former:
     groups = groups.unionByName(between, allowMissingColumns=True)
     if identities is not None:
         groups = groups.join(identities, ["grp", "n_tips"], "left")
+    if verdicts is not None:
+        groups = groups.join(verdicts.select("grp", "n_tips", "stem", F.col("stem_n").alias("stem_shards"), *_VERDICTS), ["grp", "n_tips"], "left")
     places = held.join(home, "tip_id").groupBy("key").agg(F.count_distinct("component").alias("n_components"), F.min("component").alias("component"))
     groups = groups.join(places, "key").withColumn("component", F.when(F.col("n_components") == 1, F.col("component")))
-    groups = groups.select(*(F.col(c) if c in groups.columns else F.lit(None).cast("double").alias(c) for c in COLUMNS["groups"]))
+    groups = groups.select(*(F.col(c) if c in groups.columns else F.lit(None).cast("bigint" if c in ("stem_shards", *_VERDICTS) else "double").alias(c) for c in COLUMNS["groups"]))
 
     inputs = status_of(classes, found.parts)
     n_inputs = home.groupBy("tip_id").agg(F.count_distinct("input_id").alias("n_inputs"), F.min("component").alias("component"))

@@ -23,7 +23,8 @@ def test_two_releases(spark, tmp_path):
     found = made(spark, 3, tips)
     inputs = [(f"i{t}.{k}", "full", t, "xyz"[t % 3]) for t in tips for k in range(1 + t % 2)] + [("other", "full", 99, "w"), ("part", "its2", None, None)]
     classes = spark.createDataFrame(inputs, "input_id string, class string, tip_id int, component string")
-    out = release.release_tables(found, classes, "r1")
+    told = found.nodes.select("grp", "n_tips", (F.col("n_tips") / 4).alias("stem"), F.lit(2).cast("bigint").alias("stem_n"), *(F.lit(k).cast("bigint").alias(f"n_{v}") for k, v in enumerate(("clade", "unresolved", "conflict", "whole"))))
+    out = release.release_tables(found, classes, "r1", verdicts=told)
     tables.write_release(out, str(tmp_path / "r1"))
     read = lambda r, name: spark.read.parquet(str(tmp_path / r / name)).collect()
     for name, columns in release.COLUMNS.items():
@@ -36,6 +37,7 @@ def test_two_releases(spark, tmp_path):
     assert len(groups) == found.nodes.count() + found.stems.count() and len({frozenset(s) for s in members.values()}) == len(groups)
     assert {r["kind"] for r in groups.values()} == {"level", "node"}
     for g, r in groups.items():
+        assert (r["stem"], r["stem_shards"], r["n_clade"], r["n_whole"]) == ((r["n_tips"] / 4, 2, 0, 3) if r["kind"] == "level" else (None,) * 4)
         homes = {"xyz"[t % 3] for t in members[g]}
         assert r["n_components"] == len(homes) and r["component"] == (homes.pop() if len(homes) == 1 else None)
         if r["parent_id"] is not None:
