@@ -315,6 +315,13 @@ def merge_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.cross_pairs(linkage.average_linkage(pairs, scratch), pairs, scratch)
 
 
+def verification_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs to verify across the merges of fewer than three votes."""
+    scratch = Scratch(spark)
+    pairs = scratch.keep(votes.consensus(_votes(spark, sf_dir), LEVELS).select("i", "j", F.col("med").alias("d"), F.col("votes").alias("w")))
+    return layers.verification_round(linkage.average_linkage(pairs, scratch), pairs, scratch=scratch)
+
+
 def formed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of the linkage that stay the same over levels."""
     return linkage.formed_nodes(cut_groups(spark, sf_dir))
@@ -408,7 +415,7 @@ QUERIES = {f.__name__: f for f in (
     content_dedup, input_summary, pair_consensus, votes_at_levels, membership, cohesion_held, tip_pull, group_margin, level_summary, separation, unit_pairs,
     knn_top, component_anchors, outgroups_top8, scaffold_top, coverage_account, twin_shards, distinct_shards, central_shards, hash_cover, sparse_plan,
     vector_neighbours, tied_targets, placement_jobs, region_kinds, region_neighbours, group_inputs, lineage, minted_ids, adjusted_rand, candidate_status, status_counts, assigned, chunk_contiguous, average_linkage, cut_groups,
-    stem_nodes, weakest_links, merge_pairs, forest_parts, numbered_groups, build_levels, build_tips, build_nodes, layer_levels, formed_nodes, enclosing_groups, group_identities, unit_neighbours, unit_cover, context_units, unit_shards, large_parts,
+    stem_nodes, weakest_links, merge_pairs, verification_pairs, forest_parts, numbered_groups, build_levels, build_tips, build_nodes, layer_levels, formed_nodes, enclosing_groups, group_identities, unit_neighbours, unit_cover, context_units, unit_shards, large_parts,
 )}
 
 _VOTES = """base AS (SELECT l_orderkey AS shard, l_suppkey AS tip, min(l_discount) AS x FROM lineitem GROUP BY 1, 2),
