@@ -7,7 +7,7 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
-from grovewise.operators import build, constraints, layers
+from grovewise.operators import build, constraints, layers, linkage, votes
 
 
 @pytest.fixture(scope="module")
@@ -120,3 +120,12 @@ def test_nothing_to_build(spark):
     found = build.build(none, spark.createDataFrame([(1,), (2,)], "tip int"), [0.1])
     assert found.levels.count() == found.nodes.count() == found.stems.count() == 0
     assert {(r["tip"], r["part"], r["seen"]) for r in found.parts.collect()} == {(1, 1, False), (2, 2, False)}
+
+
+def test_only_the_tables_asked_for_are_made(spark, monkeypatch):
+    given = spark.createDataFrame([(s, i, j, 0.04) for s in range(2) for i, j in ((1, 2), (1, 3), (2, 3))], "shard int, i int, j int, v float")
+    asked = []
+    monkeypatch.setattr(linkage, "stem_nodes", lambda *_: asked.append("stems"))
+    monkeypatch.setattr(votes, "separation", lambda *_: asked.append("nodes"))
+    found = build.build(given, spark.createDataFrame([(t,) for t in range(1, 5)], "tip int"), [0.05])
+    assert [(r["grp"], r["n_tips"]) for r in found.levels.collect()] == [(1, 3)] and not asked
