@@ -130,3 +130,12 @@ def test_numbering(spark):
 def test_empty(spark):
     empty = spark.createDataFrame([], "i int, j int, v float")
     assert votes.consensus(empty, [0.1]).count() == 0
+
+
+def test_medians_without_states_of_pairs(spark):
+    rng = random.Random(7)
+    rows = [(0, 1, rng.randrange(9) / 8) for _ in range(5000)] + [(1, 2, None), (1, 2, 0.5), (1, 2, 0.25), (2, 3, None)]  # one pair holds most
+    found = votes.consensus(spark.createDataFrame(rows, "i int, j int, v float").repartition(3), [0.25])
+    hot = [r[2] for r in rows[:5000]]
+    assert {(r["i"], r["j"]): (r["med"], r["votes"], r["hits"]) for r in found.collect()} == {(0, 1): (median(hot), 5000, [sum(x <= 0.25 for x in hot)]), (1, 2): (0.375, 3, [1]), (2, 3): (None, 1, [0])}
+    assert "percentile" not in found._jdf.queryExecution().executedPlan().toString()
