@@ -139,3 +139,24 @@ def test_medians_without_states_of_pairs(spark):
     hot = [r[2] for r in rows[:5000]]
     assert {(r["i"], r["j"]): (r["med"], r["votes"], r["hits"]) for r in found.collect()} == {(0, 1): (median(hot), 5000, [sum(x <= 0.25 for x in hot)]), (1, 2): (0.375, 3, [1]), (2, 3): (None, 1, [0])}
     assert "percentile" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_medians_of_runs_of_rows(spark):
+    rng = random.Random(8)
+    rows = [(str(i), str(i + 1), None if rng.random() < 0.2 else rng.randrange(9) / 8) for i in range(40) for _ in range(rng.choice((1, 2, 3, 40)))]
+    rows += [("x", None, 0.5), (None, "x", 0.25), (None, None, None), ("x", None, 1.0)]
+    given = spark.createDataFrame(rows, "i string, j string, v float")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # pairs go on over several batches
+    try:
+        found = votes.consensus(given, [0.25, 0.5])
+        assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {(r["i"], r["j"]): (r["med"], r["votes"], r["hits"]) for r in found.collect()}
+        assert votes.consensus(given, []).count() == len(got)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for i, j, _ in rows:
+        every = [v for a, b, v in rows if (a, b) == (i, j)]
+        v = sorted(x for x in every if x is not None)
+        want[i, j] = ((v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2 if v else None, len(every), [sum(x <= level for x in v) for level in (0.25, 0.5)])
+    assert got == want
