@@ -6,6 +6,7 @@ from itertools import combinations
 from statistics import median
 
 import pytest
+from py4j.protocol import Py4JJavaError
 
 from grovewise.operators import numbering, votes
 
@@ -160,3 +161,39 @@ def test_medians_of_runs_of_rows(spark):
         v = sorted(x for x in every if x is not None)
         want[i, j] = ((v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2 if v else None, len(every), [sum(x <= level for x in v) for level in (0.25, 0.5)])
     assert got == want
+
+
+@pytest.mark.parametrize("tip, shard, held, far", [("int", "int", 1_000_000, 1), ("bigint", "string", 50, 2**40), ("string", "int", 1_000_000, 1), ("smallint", "bigint", 7, 1)])
+def test_medians_of_shards(spark, monkeypatch, tip, shard, held, far):
+    monkeypatch.setattr(votes, "HELD", held)
+    rng = random.Random(7)
+    odd = [None, float("nan"), -0.0, float("inf"), float("-inf")]
+    given = [(rng.randrange(40) if rng.random() > 0.02 else None, (rng.randrange(-9, 10) if rng.random() > 0.02 else None), rng.choice(odd) if rng.random() < 0.1 else rng.randrange(7) / 8) for _ in range(700)]
+    rows = spark.createDataFrame([(s, t and t * far, x) for s, t, x in given], "s int, t bigint, x double").selectExpr(f"cast(s as {shard}) s", f"cast(t as {tip}) t", "x").repartition(3)
+    got = votes.shard_medians(rows, "s", "t", "x")
+    assert got.schema["i"].dataType.simpleString() == tip
+    least = rows.groupBy("s", "t").agg({"x": "min"}).withColumnRenamed("min(x)", "x")
+    want = votes.consensus(votes.pair_votes(least, "s", "t", "x"), []).drop("hits")
+    plain = lambda df: sorted((r["i"], r["j"], str(r["med"]), r["votes"]) for r in df.collect())
+    assert plain(got) == plain(want) and len(plain(got)) > 100
+    assert votes.shard_medians(rows.limit(0), "s", "t", "x").count() == 0
+
+
+def test_votes_of_a_linkage_are_no_rows(spark, tmp_path):
+    """The linkage of forest_parts shuffled a row for each vote: 40 shards of 40 tips have 31,200."""
+    from grovewise.plans import grouping_queries
+
+    rng = random.Random(3)
+    spark.createDataFrame([(s, t, rng.randrange(9) / 100) for s in range(40) for t in range(40)], "l_orderkey bigint, l_suppkey bigint, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(45).selectExpr("id s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    context = spark.sparkContext._jsc.sc()
+    first = context.dagScheduler().nextStageId()
+    assert sorted(map(tuple, grouping_queries.forest_parts(spark, str(tmp_path)).collect())) == [(0, 40), *((t, 1) for t in range(40, 45))]
+    context.listenerBus().waitUntilEmpty(30_000)
+    shuffled = 0
+    for k in range(first, context.dagScheduler().nextStageId()):
+        try:
+            shuffled += context.statusStore().lastStageAttempt(k).shuffleWriteRecords()
+        except Py4JJavaError:  # a stage that was not run
+            continue
+    assert 1_600 < shuffled < 20_000
