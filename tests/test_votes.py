@@ -179,8 +179,9 @@ def test_medians_of_shards(spark, monkeypatch, tip, shard, held, far):
     assert votes.shard_medians(rows.limit(0), "s", "t", "x").count() == 0
 
 
-def test_votes_of_a_linkage_are_no_rows(spark, tmp_path):
-    """The linkage of forest_parts shuffled a row for each vote: 40 shards of 40 tips have 31,200."""
+@pytest.mark.parametrize("name", ["forest_parts", "stem_nodes"])
+def test_votes_of_a_linkage_are_no_rows(spark, tmp_path, name):
+    """The linkage shuffled a row for each vote: 40 shards of 40 tips have 31,200."""
     from grovewise.plans import grouping_queries
 
     rng = random.Random(3)
@@ -188,7 +189,9 @@ def test_votes_of_a_linkage_are_no_rows(spark, tmp_path):
     spark.range(45).selectExpr("id s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
     context = spark.sparkContext._jsc.sc()
     first = context.dagScheduler().nextStageId()
-    assert sorted(map(tuple, grouping_queries.forest_parts(spark, str(tmp_path)).collect())) == [(0, 40), *((t, 1) for t in range(40, 45))]
+    found = sorted(map(tuple, grouping_queries.QUERIES[name](spark, str(tmp_path)).collect()))
+    if name == "forest_parts":
+        assert found == [(0, 40), *((t, 1) for t in range(40, 45))]
     context.listenerBus().waitUntilEmpty(30_000)
     shuffled = 0
     for k in range(first, context.dagScheduler().nextStageId()):
