@@ -179,7 +179,7 @@ def test_medians_of_shards(spark, monkeypatch, tip, shard, held, far):
     assert votes.shard_medians(rows.limit(0), "s", "t", "x").count() == 0
 
 
-@pytest.mark.parametrize("name", ["forest_parts", "stem_nodes", "numbered_groups"])
+@pytest.mark.parametrize("name", ["forest_parts", "stem_nodes", "numbered_groups", "enclosing_groups"])
 def test_votes_of_a_linkage_are_no_rows(spark, tmp_path, name):
     """The linkage shuffled a row for each vote: 40 shards of 40 tips have 31,200."""
     from grovewise.plans import grouping_queries
