@@ -200,3 +200,21 @@ def test_votes_of_a_linkage_are_no_rows(spark, tmp_path, name):
         except Py4JJavaError:  # a stage that was not run
             continue
     assert 1_600 < shuffled < 20_000
+
+
+def test_hits_and_groups_of_blocks_as_of_rows(spark):
+    rng = random.Random(21)
+    given = [(s, t * far, None if rng.random() < 0.1 else rng.randrange(8) / 64) for s in range(40) for t, far in ((rng.randrange(9), rng.choice([1, 2**40])) for _ in range(6))]
+    levels = [0.0, 1 / 32, 0.05]
+    groups = [(x, t * far, None if t % 3 == 0 else t % 2) for x in levels for t in range(8) for far in (1, 2**40) if (t, far) != (0, 1)]
+    group_of = spark.createDataFrame(groups, "level double, tip bigint, grp int")
+    for some in (given, [g for g in given if g[1] < 9]):
+        df = spark.createDataFrame(some, "shard int, tip bigint, x double")
+        least = df.groupBy("shard", "tip").agg({"x": "min"}).toDF("shard", "tip", "x")
+        rows = votes.consensus(votes.pair_votes(least, "shard", "tip", "x"), levels)
+        blocks = votes.shard_medians(df, "shard", "tip", "x", levels)
+        key = lambda d: sorted((r["i"], r["j"], r["med"] if r["med"] is not None else -1, r["votes"], tuple(r["hits"])) for r in d.collect())
+        assert key(blocks) == key(rows)
+    want, got = votes.with_groups(votes.at_levels(rows, levels), group_of), votes.leveled_with_groups(blocks, levels, group_of)
+    order = sorted(want.columns)
+    assert sorted(got.columns) == order and sorted(map(repr, want.select(order).collect())) == sorted(map(repr, got.select(order).collect()))
